@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from scholiast.llm import encoding, lookalike
+from scholiast.llm import encoding, lookalike, names
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_form": lookalike.p1_form,
+    "p3_found": names.p3_found,
+    "p3_clusters": names.p3_clusters,
     "p7_ids": encoding.p7_ids,
 }
 

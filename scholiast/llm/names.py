@@ -237,8 +237,8 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
 
     A part of eight letters and its typo share at least 0.55 of their padded bigrams; the
     banding reaches the recall there. Only distinct parts enter, so a part that a third of
-    all names carry is one row. Of two parts that are both well attested (n spellings
-    each) neither is taken for a typo of the other.
+    all names carry is one row. Two parts that differ by another letter and are both
+    well attested (n spellings each) are two parts, not a part and its typo.
     """
     bands, rows = bands_for(similarity, recall, permutations)
     keys = materialize(keys)
@@ -269,7 +269,7 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
     near_pairs = met.where(near("key", "key2"))
     a, b = keys.select("key", F.col("n").alias("na")), keys.select(F.col("key").alias("key2"), F.col("n").alias("nb"))
     rare = F.least("na", "nb")
-    return near_pairs.join(a, "key").join(b, "key2").where((rare == 1) | (rare * 3 <= F.greatest("na", "nb"))).select("key", "key2")
+    return near_pairs.join(a, "key").join(b, "key2").where((F.length("key") != F.length("key2")) | (F.array_sort(F.split("key", "")) == F.array_sort(F.split("key2", ""))) | (rare == 1) | (rare * 3 <= F.greatest("na", "nb"))).select("key", "key2")
 
 
 def representatives(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholiast.runtime import spread, table
+from scholiast.runtime import materialize, spread, table
 
 # Letters that print like a Latin letter, grouped by script, and their Latin twins.
 LOOKALIKES = (
@@ -110,11 +110,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_of_one_form(rows: DataFrame, group: list[str], key: str, text: Column, form: Column, chunk: int = 500) -> DataFrame:
     """Pairs of keys whose forms agree while their texts differ, the smaller key first.
 
-    Rows are reduced to digests first. Equal texts of a group become one variant, cut into
+    Rows are reduced to digests first, which are written once and read by each join. Equal texts of a group become one variant, cut into
     chunks of about `chunk` keys, and only chunks of different variants meet, so a group
     of copies of any size yields no pair of equal texts and is shared out among tasks.
     """
-    d = rows.select(*group, F.col(key).alias("key"), F.md5(F.encode(form, "UTF-8")).alias("f"), F.md5(F.encode(text, "UTF-8")).alias("t"))
+    d = materialize(rows.select(*group, F.col(key).alias("key"), F.md5(F.encode(form, "UTF-8")).alias("f"), F.md5(F.encode(text, "UTF-8")).alias("t")))
     by = [*group, "f"]
     several = d.groupBy(*by).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").drop("lo", "hi")
     members = d.join(several, by).withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / chunk)))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from scholiast.llm import encoding, lookalike, names
+from scholiast.llm import encoding, lookalike, matching, names
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_form": lookalike.p1_form,
     "p3_found": names.p3_found,
     "p3_clusters": names.p3_clusters,
+    "p5_found": matching.p5_found,
+    "p5_matches": matching.p5_matches,
     "p7_ids": encoding.p7_ids,
 }
 

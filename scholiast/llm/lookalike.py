@@ -97,24 +97,24 @@ def with_form(df: DataFrame, text: str, form: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_table, scope, key, text: the texts to compare, repeated rows of a key once."""
+    """source_table, scope, key, text: the texts to compare."""
     blocks = table(spark, sf_dir, "blocks").select(
         F.lit("blocks").alias("source_table"), F.col("paper_id").alias("scope"), F.concat_ws("/", "paper_id", "block_id").alias("key"), "text"
     )
     titles = table(spark, sf_dir, "metadata").select(
         F.lit("metadata").alias("source_table"), F.lit("").alias("scope"), F.col("record_id").alias("key"), F.col("title").alias("text")
     )
-    return blocks.unionByName(titles).where("text is not null and key is not null").dropDuplicates(["source_table", "scope", "key"])
+    return blocks.unionByName(titles).where("text is not null and key is not null")
 
 
 def pairs_of_one_form(rows: DataFrame, group: list[str], key: str, text: Column, form: Column, chunk: int = 500) -> DataFrame:
     """Pairs of keys whose forms agree while their texts differ, the smaller key first.
 
-    Rows are reduced to digests first, which are written once and read by each join. Equal texts of a group become one variant, cut into
+    Rows are reduced to digests first, repeated rows of a key to one, which are written once and read by each join. Equal texts of a group become one variant, cut into
     chunks of about `chunk` keys, and only chunks of different variants meet, so a group
     of copies of any size yields no pair of equal texts and is shared out among tasks.
     """
-    d = materialize(rows.select(*group, F.col(key).alias("key"), F.md5(F.encode(form, "UTF-8")).alias("f"), F.md5(F.encode(text, "UTF-8")).alias("t")))
+    d = materialize(rows.select(*group, F.col(key).alias("key"), F.md5(F.encode(form, "UTF-8")).alias("f"), F.md5(F.encode(text, "UTF-8")).alias("t")).dropDuplicates([*group, "key"]))
     by = [*group, "f"]
     several = d.groupBy(*by).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").drop("lo", "hi")
     members = d.join(several, by).withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / chunk)))
@@ -133,7 +133,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block text and title in its one form."""
-    return with_form(spread(texts(spark, sf_dir)), "text", "form").select("source_table", "key", "form")
+    return with_form(spread(texts(spark, sf_dir)), "text", "form").select("source_table", "key", "form").distinct()
 
 
 P1_FORM_SQL = f"""

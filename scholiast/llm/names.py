@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scholiast.functions.packed import _ORG, _is_org
 from scholiast.operators.packed_values import author_values
-from scholiast.runtime import materialize, spread, table
+from scholiast.runtime import materialize, parallel, table
 
 # Letters that a decomposition does not reduce to a base letter.
 BASE_LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i", "ð": "d", "þ": "th"})
@@ -259,14 +259,14 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
                 out_hash.extend(xxhash.xxh64_intdigest(row.tobytes()) - 2**63 for row in sig)
             yield pd.DataFrame({"key": out_key, "band": out_band, "h": out_hash})
 
-    banded = keys.where(F.length("key") >= 5).mapInPandas(run, "key string, band int, h long")
+    banded = parallel(keys.where(F.length("key") >= 5)).mapInPandas(run, "key string, band int, h long")
     met = banded.join(banded.withColumnRenamed("key", "key2"), ["band", "h"]).where("key < key2 and abs(length(key) - length(key2)) <= 1").select("key", "key2").distinct()
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([key_alike(x, y) for x, y in zip(a, b)])
 
-    near_pairs = met.where(near("key", "key2"))
+    near_pairs = parallel(met).where(near("key", "key2"))
     a, b = keys.select("key", F.col("n").alias("na")), keys.select(F.col("key").alias("key2"), F.col("n").alias("nb"))
     rare = F.least("na", "nb")
     return near_pairs.join(a, "key").join(b, "key2").where((F.length("key") != F.length("key2")) | (F.array_sort(F.split("key", "")) == F.array_sort(F.split("key2", ""))) | (rare == 1) | (rare * 3 <= F.greatest("na", "nb"))).select("key", "key2")
@@ -350,7 +350,7 @@ def links(reps: DataFrame, threshold: float = 0.91) -> DataFrame:
             out.append(monge_elkan(k, x, json.loads(p), y, json.loads(q), formal))
         return pd.Series(out)
 
-    scored = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), similarity("kind", "key", "parts_a", "formal_a", "key2", "parts_b", "formal_b").alias("sim"))
+    scored = parallel(pairs).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), similarity("kind", "key", "parts_a", "formal_a", "key2", "parts_b", "formal_b").alias("sim"))
     return scored.where(F.col("sim") >= threshold)
 
 
@@ -381,7 +381,7 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def name_clusters(spellings: DataFrame) -> DataFrame:
     """(name, cluster) for every distinct spelling; null, empty and blank names have no row."""
-    names, reps = representatives(spread(spellings))
+    names, reps = representatives(parallel(spellings))
     full = F.expr("kind = 'org' or exists(from_json(parts, 'array<string>'), x -> length(x) > 1)")
     clusters = star_clusters(reps.withColumn("full", full), links(reps))
     return names.join(clusters, "rep", "left").select("name", F.coalesce("centre", "rep").alias("cluster"))

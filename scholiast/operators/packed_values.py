@@ -33,8 +33,8 @@ def values_of(df: DataFrame, key: Column, field: Column, profile: str, source_fi
 
     Rows with a null key are kept apart under a null owner_key; an empty table gives no rows.
     """
-    fields = df.select(key.alias("owner_key"), field.alias("field")).where(F.col("field").isNotNull()).dropDuplicates(["owner_key", "field"])
-    packed = spread(fields).select("owner_key", split_column(F.col("field"), profile).alias("v"))
+    fields = df.select(key.alias("owner_key"), field.alias("field")).where(F.col("field").isNotNull())
+    packed = spread(fields).select("owner_key", split_column(F.col("field"), profile).alias("v")).dropDuplicates(["owner_key", "v"])
     return packed.select(
         F.lit(source_field).alias("source_field"), "owner_key", F.size("v").alias("n_values"), F.posexplode("v").alias("p", "item")
     ).select("source_field", "owner_key", "n_values", (F.col("p") + 1).cast("int").alias("pos"), "item")

@@ -40,10 +40,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Repartition only where a scan yields fewer partitions than the cluster has cores.
+    """Repartition a scan only where it yields fewer partitions than the cluster has cores.
 
     A large table is read in many splits and passes unchanged; a small one, read in a
     few, is spread so that Python work uses every core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+
+
+def parallel(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Share out rows behind a shuffle before costly Python work.
+
+    Adaptive execution joins small shuffle partitions by their bytes; where a row is a few
+    bytes but costs much to process, that leaves one task with all of it.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))))

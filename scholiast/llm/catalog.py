@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scholiast.llm import encoding, lookalike, matching, names
+from scholiast.llm import encoding, lookalike, matching, names, sentences
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_form": lookalike.p1_form,
+    "p2_found": sentences.p2_found,
     "p3_found": names.p3_found,
     "p3_clusters": names.p3_clusters,
     "p5_found": matching.p5_found,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholiast.llm import encoding, lookalike, matching, names, sentences
+from scholiast.llm import encoding, lookalike, matching, names, sentences, subjects
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
@@ -12,6 +12,9 @@ QUERIES = {
     "p3_clusters": names.p3_clusters,
     "p5_found": matching.p5_found,
     "p5_matches": matching.p5_matches,
+    "p9_found": subjects.p9_found,
+    "p9_subjects": subjects.p9_subjects,
+    "p9_makeup": subjects.p9_makeup,
     "p7_ids": encoding.p7_ids,
 }
 

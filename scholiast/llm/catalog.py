@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholiast.llm import encoding, lookalike, matching, names, sentences, subjects
+from scholiast.llm import encoding, lookalike, matching, names, packing, sentences, subjects
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p3_clusters": names.p3_clusters,
     "p5_found": matching.p5_found,
     "p5_matches": matching.p5_matches,
+    "p8_packed": packing.p8_packed,
+    "p8_fill": packing.p8_fill,
     "p9_found": subjects.p9_found,
     "p9_subjects": subjects.p9_subjects,
     "p9_makeup": subjects.p9_makeup,

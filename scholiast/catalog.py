@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scholiast.operators import orphans, packed_values
+from scholiast.plans import layout
 
 QUERIES = {
     "p4_found": orphans.p4_found,
@@ -42,3 +43,7 @@ SELECT paper_id, ref_id, count(*) AS refs FROM refs r WHERE ref_field = 'claims.
   SELECT 1 FROM evidence e WHERE e.paper_id = r.paper_id AND lower(trim(e.evidence_id)) = r.ref_id AND e.deleted_at IS NULL)
 GROUP BY ALL""",
 }
+
+for _module in (layout,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

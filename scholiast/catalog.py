@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scholiast.operators import orphans, packed_values
-from scholiast.plans import evidence, layout
+from scholiast.plans import citations, evidence, layout
 
 QUERIES = {
     "p4_found": orphans.p4_found,
@@ -44,6 +44,6 @@ SELECT paper_id, ref_id, count(*) AS refs FROM refs r WHERE ref_field = 'claims.
 GROUP BY ALL""",
 }
 
-for _module in (layout, evidence):
+for _module in (layout, evidence, citations):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -236,7 +236,7 @@ def split_entries(field: str | None) -> list[str]:
         kind = m[0].strip()
         if kind in (";", "；"):
             tail = piece.rsplit(None, 1)[-1] if piece.split() else ""
-            if not _LONG_TAIL.search(piece) or tail.lower() == "al." or re.search(r"(?:^|\W)\w\.$", tail):
+            if not _LONG_TAIL.search(piece) or tail.lower() == "al." or re.search(r"(?:^|\W)[^\W\d_]\.$", tail):
                 continue
         elif not kind and not _ENDS.search(piece):
             continue

@@ -31,7 +31,8 @@ def split_column(field: Column, profile: str) -> Column:
 def values_of(df: DataFrame, key: Column, field: Column, profile: str, source_field: str) -> DataFrame:
     """source_field, owner_key, n_values, pos, item for every value; repeated rows of a key count once.
 
-    Rows with a null key are kept apart under a null owner_key; an empty table gives no rows.
+    Rows with a null key count once per set of values, under a null owner_key; an empty
+    table gives no rows; columns other than key and field are not read.
     """
     fields = df.select(key.alias("owner_key"), field.alias("field")).where(F.col("field").isNotNull())
     packed = spread(fields).select("owner_key", split_column(F.col("field"), profile).alias("v")).dropDuplicates(["owner_key", "v"])
@@ -46,7 +47,7 @@ def author_values(metadata: DataFrame) -> DataFrame:
 
 def entry_values(citations: DataFrame) -> DataFrame:
     return values_of(
-        citations, F.concat_ws("/", "paper_id", "citation_id"), F.col("raw_reference"), "entries", "citations.raw_reference"
+        citations, F.concat("paper_id", F.lit("/"), "citation_id"), F.col("raw_reference"), "entries", "citations.raw_reference"
     )
 
 

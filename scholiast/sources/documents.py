@@ -29,7 +29,8 @@ def parsed_blocks(docs: DataFrame) -> DataFrame:
 def pair_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pairs, faulty pairs) of a manifest, a list of pairs or an object with the list under pairs."""
     raw = spark.read.text(path, wholetext=True)
-    pairs = F.coalesce(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':') for c in PAIR.split(', '))}>>"), F.from_json("value", f"struct<pairs:array<struct<{', '.join(c.replace(' ', ':') for c in PAIR.split(', '))}>>>")["pairs"])
+    shape = f"array<struct<{', '.join(c.replace(' ', ':') for c in PAIR.split(', '))}>>"
+    pairs = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", shape)).otherwise(F.from_json("value", f"struct<pairs:{shape}>")["pairs"])
     rows = raw.select(F.explode(pairs).alias("p")).select("p.*")
     whole = F.expr("id is not null and paper_file is not null and presentation_file is not null and presentation_type is not null")
     return rows.where(whole), rows.where(~whole)

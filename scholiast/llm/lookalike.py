@@ -78,7 +78,11 @@ def form_sql(column: str) -> str:
 
 
 def with_form(df: DataFrame, text: str, form: str) -> DataFrame:
-    """Add the form of a text column; a null text has a null form, an empty one an empty form."""
+    """Add the form of a text column; a null text has a null form, an empty one an empty form.
+
+    A column that bears the new name already is replaced.
+    """
+    df = df.drop(form)
     schema = df.withColumn(form, F.lit(None).cast("string")).schema
     sql = f"SELECT *, {form_sql(chr(34) + text + chr(34))} AS \"{form}\" FROM batch"
 
@@ -99,7 +103,7 @@ def with_form(df: DataFrame, text: str, form: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_table, scope, key, text: the texts to compare."""
     blocks = table(spark, sf_dir, "blocks").select(
-        F.lit("blocks").alias("source_table"), F.col("paper_id").alias("scope"), F.concat_ws("/", "paper_id", "block_id").alias("key"), "text"
+        F.lit("blocks").alias("source_table"), F.col("paper_id").alias("scope"), F.concat("paper_id", F.lit("/"), "block_id").alias("key"), "text"
     )
     titles = table(spark, sf_dir, "metadata").select(
         F.lit("metadata").alias("source_table"), F.lit("").alias("scope"), F.col("record_id").alias("key"), F.col("title").alias("text")

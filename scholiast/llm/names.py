@@ -81,7 +81,8 @@ def roles(spelling: str) -> dict:
         return {"kind": "person", "family": words, "given": [], "nick": nick}
     if re.fullmatch(r"[A-Z]{1,4}", words[-1]) and not re.fullmatch(r"[A-Z]{1,4}", words[0]):
         return {"kind": "person", "family": words[:-1], "given": list(words[-1]), "nick": nick}
-    caps = [w for w in words if len(w) > 3 and w.isupper()]
+    # up to five capitals in front are an acronym
+    caps = [w for k, w in enumerate(words) if len(w) > (5 if k == 0 else 3) and w.isupper()]
     if caps and len(caps) < len([w for w in words if len(w) > 1]):
         return {"kind": "person", "family": caps, "given": [w for w in words if w not in caps], "nick": nick}
     initial = [len(w.replace("-", "")) <= 2 and w[0].isupper() for w in words]
@@ -257,7 +258,7 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
                 out_key.extend([key] * bands)
                 out_band.extend(range(bands))
                 out_hash.extend(xxhash.xxh64_intdigest(row.tobytes()) - 2**63 for row in sig)
-            yield pd.DataFrame({"key": out_key, "band": out_band, "h": out_hash})
+            yield pd.DataFrame({"key": out_key, "band": out_band, "h": out_hash}, dtype=object)
 
     banded = parallel(keys.where(F.length("key") >= 5)).mapInPandas(run, "key string, band int, h long")
     met = banded.join(banded.withColumnRenamed("key", "key2"), ["band", "h"]).where("key < key2 and abs(length(key) - length(key2)) <= 1").select("key", "key2").distinct()
@@ -291,7 +292,7 @@ def representatives(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
                     given = r["given"][0].lower() if r["given"] else ""
                 if r["nick"] and len(given) > 1 and given != r["nick"]:
                     out.append((r["nick"], 1.0, 0.0, given))
-            yield pd.DataFrame(out, columns=["part", "g", "f", "formal"])
+            yield pd.DataFrame(out, columns=["part", "g", "f", "formal"], dtype=object)
 
     told = spellings.mapInPandas(evidence, "part string, g double, f double, formal string")
     told = told.groupBy("part").agg((F.sum("g") / F.sum(F.col("g") + F.col("f"))).alias("share"), F.collect_set("formal").alias("formal"))
@@ -314,7 +315,7 @@ def representatives(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if p in NICKNAMES:
                     formal[p] = sorted({*formal.get(p, ()), *NICKNAMES[p].split()})
             out.append((kind, key, parts, json.dumps(formal, sort_keys=True)))
-        return pd.DataFrame(out, columns=["kind", "key", "parts", "formal"])
+        return pd.DataFrame(out, columns=["kind", "key", "parts", "formal"], dtype=object)
 
     rows = facts.select("name", parsed("name", "facts").alias("p")).select("name", "p.*").where("length(key) > 0")
     rows = materialize(rows.withColumn("rep", F.xxhash64("kind", "key", "parts")))
@@ -358,8 +359,8 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rep, centre): centres are the nodes that outrank all neighbours still free; others join their most similar centre.
 
     Ranks are degrees, full spellings first, so stars form in parallel rounds; the rounds
-    end when no node with a free neighbour is left, and nodes without links are their own
-    centres. Two nodes of one star need not resemble each other, only their centre.
+    end when no node with a free neighbour is left. Nodes left without one have no row: they
+    are their own centres. Two nodes of one star need not be alike, only like their centre.
     """
     both = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))

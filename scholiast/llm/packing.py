@@ -74,7 +74,8 @@ def plan(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int]]
     """The cheapest of the best-fit packings that permit all sizes, or one of them alone or from it downwards."""
     permitted = sorted(set(capacities))
     largest = max(sizes, default=0)
-    tries = [best_fit(sizes, permitted[: k + 1]) for k in range(len(permitted)) if permitted[k] >= largest]
+    fitting = [k for k in range(len(permitted)) if permitted[k] >= largest]
+    tries = [best_fit(sizes, some) for k in fitting for some in (permitted[: k + 1], permitted[k : k + 1])]
     return min(
         (([*w], [permitted[bisect.bisect_left(permitted, u)] for u in _loads(sizes, w)]) for w, _ in tries),
         key=lambda t: (sum(t[1]), len(t[1])),

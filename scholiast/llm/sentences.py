@@ -399,7 +399,7 @@ def windows(texts: DataFrame, text: str) -> DataFrame:
                     seen[g.window()] += 1
                 if begin:
                     seen[begin.window()] += 1
-            yield pd.DataFrame([(*w, n) for w, n in seen.items()], columns=[*WINDOW, "n"])
+            yield pd.DataFrame([(*w, n) for w, n in seen.items()], columns=[*WINDOW, "n"], dtype=object)
 
     found = texts.select(text).mapInPandas(run, ", ".join(f"{w} string" for w in WINDOW) + ", n long")
     return found.groupBy(*WINDOW).agg(F.sum("n").alias("n"))
@@ -419,7 +419,7 @@ def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5, entr
             for df in batches:
                 for k, v in expected(df.itertuples(index=False, name=None), m).items():
                     total[k] += v
-            yield pd.DataFrame({"k": list(total), "v": list(total.values())}, columns=["k", "v"]).astype({"v": float})
+            yield pd.DataFrame({"k": list(total), "v": list(total.values())}, columns=["k", "v"], dtype=object)
 
         sums = rows.mapInPandas(run, "k string, v double").groupBy("k").agg(F.sum("v").alias("v"))
         kept = sums.where((F.col("v") >= least) | F.col("k").rlike("^(Ec|S|Sc|N|Nc|Na|UC|D[BN])[|]")).orderBy(F.desc("v"), "k").limit(entries)
@@ -457,7 +457,7 @@ def sentences(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
             for *key, t in b.itertuples(index=False, name=None):
                 if isinstance(t, str):
                     out += [(*key, n, s, e) for n, (s, e) in enumerate(split(t, m), 1)]
-            yield pd.DataFrame(out, columns=[*keys, "sent_no", "char_start", "char_end"])
+            yield pd.DataFrame(out, columns=[*keys, "sent_no", "char_start", "char_end"], dtype=object)
 
     return df.select(*keys, text).mapInPandas(run, schema)
 

@@ -79,7 +79,7 @@ class Terms:
             if n >= least:
                 p = (c + 1.0 * prior) / (n + 1.0)
                 top = int(p.argmax())
-                if p[top] >= lean and p[top] >= 2.5 * prior[top]:
+                if p[top] >= lean and p[top] * (1 - prior[top]) >= 3 * prior[top] * (1 - p[top]):
                     weights[w] = np.maximum(np.log(p / prior), -3.0) * min(1.0, n / 4)
         return cls(subjects, weights)
 
@@ -255,7 +255,7 @@ def classify(documents: DataFrame, chain: Chain) -> DataFrame:
                 if n and chain.weights:
                     chosen, p = chain.decode(common, own)
                     out += [(doc_id, chain.terms.subjects[k], float(own[k, 0]), p) for k in chosen]
-            yield pd.DataFrame(out, columns=["doc_id", "subject_code", "share", "confidence"])
+            yield pd.DataFrame(out, columns=["doc_id", "subject_code", "share", "confidence"], dtype=object)
 
     rows = documents.select("doc_id", "text", "source", "doc_kind").where("length(trim(text)) > 0")
     return rows.mapInPandas(run, "doc_id long, subject_code string, share double, confidence double")

@@ -68,7 +68,7 @@ def extract_units(units: DataFrame, client: ModelClient, instruction: str, at_on
                         break
                 said = [str(o.get("summary") or "").strip() for o in (answer or {}).get("overview") or [] if isinstance(o, dict)]
                 rows.append((unit, [s for s in said if s], error, n))
-            yield pd.DataFrame(rows, columns=["unit_id", "summaries", "error", "attempt"])
+            yield pd.DataFrame(rows, columns=["unit_id", "summaries", "error", "attempt"], dtype=object)
 
     return units.select("unit_id", "text").repartition(at_once).mapInPandas(run, "unit_id string, summaries array<string>, error string, attempt int")
 
@@ -82,7 +82,7 @@ def look_up(titles: DataFrame, provider: MetadataProvider, cache: DataFrame | No
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield pd.DataFrame([(k, t, json.dumps(provider.search(t), ensure_ascii=False)) for k, t in zip(df["key"], df["title"])], columns=["key", "title", "records"])
+            yield pd.DataFrame([(k, t, json.dumps(provider.search(t), ensure_ascii=False)) for k, t in zip(df["key"], df["title"])], columns=["key", "title", "records"], dtype=object)
 
     asked = todo.select("key", "title").mapInPandas(run, "key string, title string, records string")
     return asked if cache is None else asked.unionByName(cache.select("key", "title", "records").join(keyed.select("key"), "key", "left_semi"))

@@ -279,7 +279,7 @@ def _per_page(spark: SparkSession, sf: str, run, schema: str) -> DataFrame:
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["ord", "block_id"]).to_dict("records")
         out = run(rows, G.WIDTH, G.HEIGHT)
-        return pd.DataFrame([{"paper_id": rows[0]["paper_id"], "page": rows[0]["page"], **o} for o in out], columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame([{"paper_id": rows[0]["paper_id"], "page": rows[0]["page"], **o} for o in out], columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     return flat.groupBy(*PAGE).applyInPandas(page, schema)
 

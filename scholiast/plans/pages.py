@@ -25,7 +25,7 @@ def formula_symbols(spark: SparkSession, sf: str) -> DataFrame:
         for x in s:
             tex, names = M.latex(x), M.variables(x)
             rows.append((tex, names, M.mathml(tex, tuple(names))))
-        return pd.DataFrame(rows, columns=["latex", "variables", "mathml"])
+        return pd.DataFrame(rows, columns=["latex", "variables", "mathml"], dtype=object)
 
     b = clean_blocks(spark, sf).where("role = 'formula' and text is not null")
     return b.select("paper_id", "block_id", "page", read("text").alias("r")).select("paper_id", "block_id", "page", "r.*")

@@ -46,7 +46,7 @@ def save_images(images: DataFrame, folder: str) -> DataFrame:
                         f.write(data)
                     os.replace(temp, f"{folder}/{name}")
                     out.append((i, f"{folder}/{name}"))
-            yield pd.DataFrame(out, columns=["id", "asset_path"])
+            yield pd.DataFrame(out, columns=["id", "asset_path"], dtype=object)
 
     return images.select("id", "extension", "bytes").mapInPandas(run, "id string, asset_path string")
 

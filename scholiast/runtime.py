@@ -57,3 +57,24 @@ def parallel(df: DataFrame, per_core: int = 2) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that Python workers can import it wherever they run."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_scholiast_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="scholiast-"), "scholiast.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._scholiast_shipped = True
+    return spark

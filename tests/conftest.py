@@ -8,11 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from scholiast.runtime import build_session
+    from scholiast.runtime import build_session, ship
 
     s = build_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    yield ship(s)
     s.stop()
 
 

@@ -254,9 +254,9 @@ def guess(cl: str, cr: str, r1: str) -> float:
     return 0.35 if cl[:2] in ("W1", "w1", "W3", "w3") or "." in cl[:-1] else 0.5 if cr.startswith("0") else 0.85
 
 
-# How sentences begin is learned at the beginnings of texts, behind marks that end nothing else, and
-# in scripts without marks; a full stop tells too little about what follows it.
-_SURE = re.compile(r"^\^$|_$|^[^.…．]*[!?؟。！？।॥]+$")
+# How sentences begin is learned at the beginnings of texts and behind marks that end nothing else;
+# a full stop, or a blank in a script without marks, tells too little about what follows it.
+_SURE = re.compile(r"^\^$|^[^.…．]*[!?؟。！？।॥]+$")
 # How many counts it takes to believe that a word may follow without a boundary. Were it few,
 # the frequent beginnings of sentences would soon count as continuations of frequent last words.
 DISTRUST = 300.0
@@ -290,7 +290,8 @@ class Model:
         c, g, r1, cr = self.get, w[0], w[4], w[5]
         total = c("S|" + g, 0.0)
         kind = (c(f"Sc|{g}|{cr}", 0.0) + 0.01) / (total + 1.0) * self._share(g, r1, cr)
-        return (c(f"S1|{g}|{r1}", 0.0) + 5 * kind) / (total + 5)
+        new = 5 + 0.3 * total  # sentences often begin with words that no sure beginning has shown
+        return (c(f"S1|{g}|{r1}", 0.0) + new * kind) / (total + new)
 
     def without(self, w: tuple) -> float:
         c, g, l1, cl, r1, cr = self.get, w[0], w[2], w[3], w[4], w[5]
@@ -305,7 +306,9 @@ class Model:
         total = c(f"S1|{g}|{r1}", 0.0) if state == "B" else c(f"M1|{g}|{r1}", 0.0)
         both = c(f"Sc|{g}|{cr}", 0.0) if state == "B" else c(f"Na|{g}|{cr}", 0.0)
         kind = (c(f"D{state}|{g}|{cr}|{cr2}", 0.0) + 0.5) / (both + 10.0) * self._share(g, r2, cr2)
-        open_ended = 5 + 0.5 * total  # most first words go on in ever new ways
+        if r2 == "$":
+            return 1.0  # the end of a text tells nothing
+        open_ended = (5 if state == "B" else DISTRUST) + 0.5 * total  # most first words go on in ever new ways
         return (c(f"T{state}|{g}|{r1}|{r2}", 0.0) + open_ended * kind) / (total + open_ended)
 
     def posterior(self, g: tuple) -> float:

@@ -323,25 +323,45 @@ def representatives(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("name", "rep"), reps
 
 
+def first_keys(kind: str, parts: list[str], formal: dict[str, list[str]]) -> list[str]:
+    """Keys under which a representative meets others that may be the same.
+
+    An organisation has its acronym. A person has the initials of the first given part and
+    of what it stands for; a written-out part also has itself and each form with one letter
+    left out, so that two parts one slip apart share a key without any pair of a group
+    being formed.
+    """
+    if not parts or not parts[0]:
+        return []
+    if kind == "org":
+        return ["o:" + parts[0]]
+    names = {parts[0], *formal.get(parts[0], ())}
+    keys = {"i:" + n[0] for n in names if n}
+    for n in names:
+        if len(n) > 1:
+            keys |= {"d:" + n} | {"d:" + n[:k] + n[k + 1 :] for k in range(len(n))}
+    return sorted(keys)
+
+
 def links(reps: DataFrame, threshold: float = 0.91) -> DataFrame:
     """Verified pairs a < b of representatives with their similarity."""
 
     @F.pandas_udf("array<string>")
     def starts(kind: pd.Series, parts: pd.Series, formal: pd.Series) -> pd.Series:
-        out = []
-        for k, p, f in zip(kind, parts, formal):
-            own, names = json.loads(p), json.loads(f)
-            firsts = [own[0], *names.get(own[0], ())] if own else []
-            out.append(sorted({x if k == "org" else x[0] for x in firsts if x}))
-        return pd.Series(out)
+        return pd.Series([first_keys(k, json.loads(p), json.loads(f)) for k, p, f in zip(kind, parts, formal)])
 
-    rows = reps.select("rep", "kind", "key", "parts", "formal", F.explode(starts("kind", "parts", "formal")).alias("start"))
+    rows = materialize(reps.select("rep", "kind", "key", F.explode(starts("kind", "parts", "formal")).alias("start"), F.expr("kind = 'person' and length(from_json(parts, 'array<string>')[0]) = 1").alias("short")))
     keys = reps.groupBy("key").agg(F.sum("size").alias("n"))
     near = alike_keys(keys)
     met = keys.select("key", F.col("key").alias("key2")).unionByName(near).unionByName(near.select(F.col("key2").alias("key"), F.col("key").alias("key2")))
-    a = rows.select("key", "kind", "start", *(F.col(c).alias(f"{c}_a") for c in ("rep", "parts", "formal")))
-    b = rows.select(F.col("key").alias("key2"), "kind", "start", *(F.col(c).alias(f"{c}_b") for c in ("rep", "parts", "formal")))
-    pairs = a.join(met, "key").join(b, ["key2", "kind", "start"]).where("rep_a < rep_b").dropDuplicates(["rep_a", "rep_b"])
+    a = rows.select("key", "kind", "start", F.col("rep").alias("rep_a"), F.col("short").alias("short_a")).join(met, "key")
+    b = rows.select(F.col("key").alias("key2"), "kind", "start", F.col("rep").alias("rep_b"))
+    # an initial meets all given names with it; two given names meet only where they are alike
+    met_reps = a.where(F.col("short_a") | ~F.startswith("start", F.lit("i:"))).join(b, ["key2", "kind", "start"]).where("rep_a <> rep_b")
+    ids = met_reps.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+    told = reps.select("rep", "kind", "key", "parts", "formal")
+    pairs = ids.join(told.select(F.col("rep").alias("rep_a"), "kind", "key", F.col("parts").alias("parts_a"), F.col("formal").alias("formal_a")), "rep_a")
+    pairs = pairs.join(told.select(F.col("rep").alias("rep_b"), F.col("key").alias("key2"), F.col("parts").alias("parts_b"), F.col("formal").alias("formal_b")), "rep_b")
 
     @F.pandas_udf("double")
     def similarity(kind: pd.Series, ka: pd.Series, pa: pd.Series, fa: pd.Series, kb: pd.Series, pb: pd.Series, fb: pd.Series) -> pd.Series:

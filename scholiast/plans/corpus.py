@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholiast.functions import text as T
-from scholiast.operators.ordering import PAGE, clean_blocks
+from scholiast.operators.ordering import PAGE, clean_blocks, running_sum
 from scholiast.plans.evidence import C, E, clean_claims, clean_evidence
 from scholiast.plans.layout import B
 from scholiast.runtime import table
@@ -40,8 +40,9 @@ LINK_SQL = f"WITH {PA} SELECT paper_id, coalesce(original_url, local_pdf, '') ||
 def presentation_units(spark: SparkSession, sf: str) -> DataFrame:
     """Slides of a paper in groups of four, in the order of their ids."""
     d = table(spark, sf, "documents").where("doc_kind = 'slide' and paper_id is not null").select("paper_id", "doc_id", "n_chars").distinct()
-    w = Window.partitionBy("paper_id").orderBy("doc_id")
-    units = d.withColumn("unit", F.floor((F.row_number().over(w) - 1) / 4).cast("int")).groupBy("paper_id", "unit")
+    # counted within spans of ids first, so that a paper with a third of all slides is no single task
+    counted = running_sum(d.withColumn("page", F.floor(F.col("doc_id") / 10_000)), F.lit(1), "n", order="doc_id")
+    units = counted.withColumn("unit", F.floor((F.col("n") - 1) / 4).cast("int")).groupBy("paper_id", "unit")
     return units.agg(F.count(F.lit(1)).alias("n_slides"), F.sum("n_chars").alias("n_chars"), F.min("doc_id").alias("first_doc"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scholiast.operators import orphans, packed_values
-from scholiast.plans import citations, corpus, evidence, graphs, layout, pages, reader
+from scholiast.plans import citations, content, corpus, evidence, graphs, layout, pages, reader
 
 QUERIES = {
     "p4_found": orphans.p4_found,
@@ -44,6 +44,6 @@ SELECT paper_id, ref_id, count(*) AS refs FROM refs r WHERE ref_field = 'claims.
 GROUP BY ALL""",
 }
 
-for _module in (layout, evidence, citations, graphs, corpus, pages, reader):
+for _module in (layout, evidence, citations, graphs, corpus, pages, reader, content):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -9,11 +9,11 @@ from scholiast.functions import geometry as G
 from scholiast.functions import text as T
 from scholiast.operators.ordering import clean_blocks, running_sum
 from scholiast.operators.reader_scans import consolidate, reader_order, sentence_boxes
-from scholiast.plans.citations import citation_expand, citation_relation, clean_records, reference_fields
+from scholiast.plans.citations import EXPAND_SQL, FIELD_SQL, RELATION_SQL, citation_expand, citation_relation, clean_records, reference_fields
 from scholiast.plans.corpus import PA, papers
-from scholiast.plans.evidence import C, E, clean_claims, clean_evidence, section_router
+from scholiast.plans.evidence import SECTION_ROUTER_SQL, C, E, clean_claims, clean_evidence, section_router
 from scholiast.plans.graphs import GATE_SQL, P, VIOLATION_SQL, clean_provenance, gate_counts, violations
-from scholiast.plans.layout import B, SECTION_CTE, SECTION_SQL, _per_page, headings, q, section_segments
+from scholiast.plans.layout import PAGE_SECTION_SQL, B, SECTION_CTE, SECTION_SQL, _per_page, headings, q, section_segments
 from scholiast.runtime import table
 
 _SQ = f"trim(regexp_replace(text, '{T.WS}+', ' ', 'g'))"
@@ -94,6 +94,12 @@ def section_briefs(spark: SparkSession, sf: str) -> DataFrame:
     return j.withColumn("place", F.row_number().over(w)).where("place <= 3").select("paper_id", "part", "place", "block_id")
 
 
+BRIEF_SQL = f"""
+WITH {SECTION_CTE}, r AS ({SECTION_ROUTER_SQL})
+SELECT n.paper_id, part, row_number() OVER (PARTITION BY n.paper_id, part ORDER BY n.section_no, page, ord) AS place, block_id
+FROM n JOIN r ON r.paper_id = n.paper_id AND r.section_no = n.section_no WHERE part IS NOT NULL AND role = 'body' AND length(s) >= 35 QUALIFY place <= 3"""
+
+
 def relation_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence that best shows a citation's relation: in a section on earlier work, then on method, then the shortest."""
     rel = citation_relation(spark, sf).where("relation is not null")
@@ -107,6 +113,14 @@ def relation_rank(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("paper_id", "citation_id", (-F.col("b.p")).alias("section_rank"), F.col("b.evidence_id").alias("evidence_id"), F.col("b.relation").alias("relation"))
 
 
+RANK_SQL = f"""
+WITH {E}, x AS ({EXPAND_SQL}), f AS ({FIELD_SQL}), l AS ({RELATION_SQL}), t AS ({PAGE_SECTION_SQL})
+SELECT f.paper_id, citation_id, CASE WHEN regexp_matches(title, '(?i)\\b(related work|background|introduction|prior work|literature)\\b') THEN 3 WHEN regexp_matches(title, '(?i)\\b(method|approach|model|architecture)\\b') THEN 2 ELSE 1 END AS section_rank,
+  x.evidence_id, relation FROM f JOIN x ON f.paper_id = x.paper_id AND f.number = x.number JOIN l ON l.paper_id = x.paper_id AND l.evidence_id = x.evidence_id AND relation IS NOT NULL
+JOIN e ON e.paper_id = x.paper_id AND e.evidence_id = x.evidence_id LEFT JOIN t ON t.paper_id = e.paper_id AND t.page = e.page
+QUALIFY row_number() OVER (PARTITION BY f.paper_id, citation_id ORDER BY section_rank DESC, length(verbatim_text), x.evidence_id, relation) = 1"""
+
+
 def visual_requests(spark: SparkSession, sf: str) -> DataFrame:
     """What is asked to be shown of each paper, by what it holds: original pictures and tables, equations, relations."""
     b = clean_blocks(spark, sf).withColumn("s", T.squeeze(F.col("text")))
@@ -265,6 +279,6 @@ QUERIES = {f.__name__: f for f in (
     label_dereference, companions, data_uris, query_targets, reader_reading_order, equation_groups, sentence_rectangles, redacted_props,
 )}
 SQL = {
-    "title_argmax": TITLE_SQL, "abstracts": ABSTRACT_SQL, "outline": OUTLINE_SQL, "equation_lines": EQUATION_SQL, "visual_requests": VISUAL_SQL, "content_overlay": OVERLAY_SQL,
+    "title_argmax": TITLE_SQL, "abstracts": ABSTRACT_SQL, "outline": OUTLINE_SQL, "equation_lines": EQUATION_SQL, "section_briefs": BRIEF_SQL, "relation_rank": RANK_SQL, "visual_requests": VISUAL_SQL, "content_overlay": OVERLAY_SQL,
     "schema_violations": SCHEMA_SQL, "review_report": REPORT_SQL, "issue_list": ISSUE_SQL, "label_dereference": DEREF_SQL, "companions": COMPANION_SQL, "data_uris": URI_SQL, "query_targets": TARGET_SQL,
 }

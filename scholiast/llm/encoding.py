@@ -46,7 +46,7 @@ def joined_pairs(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 @lru_cache(4)
-def encoder(path: str = VOCABULARY, memo: int = 500_000) -> Callable[[str | None], array]:
+def encoder(path: str = VOCABULARY, memo: int = 300_000) -> Callable[[str | None], array]:
     """A function from text to its ids; memo bounds the number of fragments kept, not what is encoded."""
     import regex
     import tiktoken
@@ -79,9 +79,10 @@ def encoder(path: str = VOCABULARY, memo: int = 500_000) -> Callable[[str | None
                 known = seen.get(fragment)
                 if known is None:
                     known = fragment_ids(fragment)
-                    if len(seen) >= memo:
-                        seen.clear()
-                    seen[fragment] = known
+                    if len(fragment) <= 48:  # longer ones seldom come back, and would fill the memory
+                        if len(seen) >= memo:
+                            seen.clear()
+                        seen[fragment] = known
                 ids.extend(known)
         return ids
 

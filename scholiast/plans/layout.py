@@ -86,13 +86,11 @@ def headings(spark: SparkSession, sf: str) -> DataFrame:
 def section_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Sections from heading to heading: title, level, pages and number of blocks."""
     numbered = running_sum(headings(spark, sf), F.col("is_heading"), "section_no").where("section_no > 0")
-    level = F.length(F.regexp_extract("s", r"^([0-9]+(?:\.[0-9]+){0,4})[.)]?" + T.WS, 1))
     dots = F.regexp_replace(F.regexp_extract("s", T.NUMBERED_HEADING, 1), "[^.]", "")
     head = F.when(F.col("is_heading"), F.struct("page", "s", (F.length(dots) + 1).alias("level")))
     out = numbered.groupBy("paper_id", "section_no").agg(
         F.first(head, ignorenulls=True).alias("h"), F.max("page").alias("page_end"), F.count(F.lit(1)).alias("n_blocks")
     )
-    del level
     return out.select("paper_id", "section_no", F.col("h.s").alias("title"), F.col("h.level").cast("int").alias("level"), F.col("h.page").alias("page_start"), "page_end", "n_blocks")
 
 

@@ -9,6 +9,7 @@ QUERIES = {
     "p4_found": orphans.p4_found,
     "p4_monthly": orphans.p4_monthly,
     "p4_current": orphans.p4_current,
+    "p4_report": orphans.p4_report,
     "p6_found": packed_values.p6_found,
 }
 
@@ -41,6 +42,18 @@ SQL = {
 WITH {_REFS}
 SELECT paper_id, ref_id, count(*) AS refs FROM refs r WHERE ref_field = 'claims.evidence_ids' AND NOT EXISTS (
   SELECT 1 FROM evidence e WHERE e.paper_id = r.paper_id AND lower(trim(e.evidence_id)) = r.ref_id AND e.deleted_at IS NULL)
+GROUP BY ALL""",
+    "p4_report": f"""
+WITH {_REFS},
+live AS (
+  SELECT 'e' AS kind, paper_id, lower(trim(evidence_id)) AS ref_id FROM evidence WHERE deleted_at IS NULL
+  UNION SELECT 'o', paper_id, lower(trim(block_id)) FROM blocks
+  UNION SELECT 'o', paper_id, lower(trim(claim_id)) FROM claims
+  UNION SELECT 'o', paper_id, lower(trim(citation_id)) FROM citations
+  UNION SELECT 'r', NULL, lower(trim(record_id)) FROM metadata WHERE deleted_at IS NULL)
+SELECT ref_field, paper_id, ref_id, count(*) AS refs FROM refs r WHERE NOT EXISTS (
+  SELECT 1 FROM live n WHERE n.ref_id = r.ref_id
+    AND CASE WHEN r.ref_field = 'provenance.source_ids' THEN n.kind = 'r' OR n.paper_id = r.paper_id ELSE n.kind = 'e' AND n.paper_id = r.paper_id END)
 GROUP BY ALL""",
 }
 

@@ -133,3 +133,29 @@ def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = existence(table(spark, sf_dir, "evidence"), ["paper_id"], "evidence_id")
     seen = seen.select("paper_id", "ref_id", F.lit(0).cast("long").alias("refs"), F.aggregate("deltas", F.lit(0), lambda a, x: a + x["d"]).cast("long").alias("exists"))
     return orphan_keys(merge_counts(None, refs.unionByName(seen))).select("paper_id", "ref_id", "refs")
+
+
+def count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed deltas (ref_field, paper_id, ref_id, refs, exists) of all referring fields and all tables they name.
+
+    Evidence counts for every field; blocks, claims, citations and metadata records for
+    source_ids only. Records belong to no paper: their existence goes to each paper that
+    names them. Rows without paper exist for no reference.
+    """
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    any_kind = F.lit("provenance.source_ids")
+    refs = references(spark, sf_dir)
+    deltas = refs.select("ref_field", "paper_id", "ref_id", one.alias("refs"), none.alias("exists"))
+    exists = F.aggregate("deltas", F.lit(0), lambda a, x: a + x["d"]).cast("long").alias("exists")
+    for name, key in KEYED.items():
+        fields = F.array(*map(F.lit, FIELDS)) if name == "evidence" else F.array(any_kind)
+        rows = existence(table(spark, sf_dir, name).where("paper_id is not null"), ["paper_id"], key)
+        deltas = deltas.unionByName(rows.select(F.explode(fields).alias("ref_field"), "paper_id", "ref_id", none.alias("refs"), exists))
+    named = refs.where(F.col("ref_field") == any_kind).select("ref_field", "paper_id", "ref_id").distinct()
+    records = existence(table(spark, sf_dir, "metadata"), [], "record_id")
+    return deltas.unionByName(named.join(records, "ref_id").select("ref_field", "paper_id", "ref_id", none.alias("refs"), exists))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every referring field that lead nowhere once all deltas are in, with their reference counts."""
+    return orphan_keys(merge_counts(None, count_deltas(spark, sf_dir))).select("ref_field", "paper_id", "ref_id", "refs")

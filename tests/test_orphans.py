@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scholiast import catalog
 from scholiast.operators.orphans import merge_counts, orphan_keys, p4_found
 
 T = [dt.datetime(2024, 1, d) for d in range(1, 29)]
@@ -81,3 +82,20 @@ def test_counts_do_not_depend_on_batches(spark):
     first = merge_counts(None, df.where(F.col("key") == "k"))
     assert {tuple(r) for r in merge_counts(first, df.where("key is null or key <> 'k'")).collect()} == whole
     assert {r.key for r in orphan_keys(merge_counts(None, df)).collect()} == {"k", "y", None}
+
+
+def test_report_counts_every_field_and_table(spark, tables):
+    sf = tables(
+        evidence=([("a", "evidence:1", T[9], None), ("a", "evidence:2", T[1], T[2]), (None, "evidence:3", T[1], None)], "paper_id string, evidence_id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz"),
+        blocks=([("a", "block:1", T[1])], "paper_id string, block_id string, ingested_at timestamp_ntz"),
+        claims=([("a", "claim:1", ["evidence:1", "block:1"], T[1]), ("a", "claim:2", ["block:1"], T[1])], "paper_id string, claim_id string, evidence_ids array<string>, ingested_at timestamp_ntz"),
+        citations=([("a", "c:1", ["evidence:2", "evidence:1"], T[1])], "paper_id string, citation_id string, cited_in_evidence_ids array<string>, ingested_at timestamp_ntz"),
+        provenance=(
+            [("a", "p:1", ["block:1", "Claim:1", "c:1", "record:1", "record:2", "evidence:2", "x"], T[1]), ("b", "p:2", ["record:1", "block:1"], T[1]), (None, "p:3", ["record:1", "evidence:3"], T[1])],
+            "paper_id string, provenance_id string, source_ids array<string>, ingested_at timestamp_ntz",
+        ),
+        metadata=([("record:1", T[1], None), ("record:2", T[1], T[2])], "record_id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz"),
+    )
+    cl, ci, pv = "claims.evidence_ids", "citations.cited_in_evidence_ids", "provenance.source_ids"
+    want = {(cl, "a", "block:1", 2), (ci, "a", "evidence:2", 1), (pv, "a", "record:2", 1), (pv, "a", "evidence:2", 1), (pv, "a", "x", 1), (pv, "b", "block:1", 1), (pv, None, "evidence:3", 1)}
+    assert {tuple(r) for r in catalog.QUERIES["p4_report"](spark, sf).collect()} == want

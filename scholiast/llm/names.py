@@ -233,11 +233,20 @@ def padded_grams(part: str, q: int = 2) -> set[str]:
     return {s[i : i + q] for i in range(len(s) - q + 1)}
 
 
+def slip_forms(part: str) -> list[str]:
+    """Forms of which two parts one edit apart share at least one, whatever their lengths."""
+    n = len(part)
+    forms = {part} | {part[:k] + part[k + 1 :] for k in range(n)} if n <= 20 else set()
+    return sorted(forms | ({part[:8] + "-", "-" + part[-8:]} if n >= 20 else set()))
+
+
 def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99, permutations: int = 128) -> DataFrame:
-    """Pairs key < key2 of distinct key parts that are one edit apart, found through MinHash bands.
+    """Pairs key < key2 of distinct key parts that are one edit apart, found through MinHash bands and forms with one letter left out.
 
-    A part of eight letters and its typo share at least 0.55 of their padded bigrams; the
-    banding reaches the recall there. Only distinct parts enter, so a part that a third of
+    The banding reaches the recall at the similarity of padded bigrams, but a part of five
+    letters and its transposition share a third only. Parts one edit apart always share a
+    form with one letter left out; those of twenty letters or more, of which no edit touches
+    both ends, their first or last eight letters. Only distinct parts enter, so a part that a third of
     all names carry is one row. Two parts that differ by another letter and are both
     well attested (n spellings each) are two parts, not a part and its typo.
     """
@@ -258,6 +267,10 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
                 out_key.extend([key] * bands)
                 out_band.extend(range(bands))
                 out_hash.extend(xxhash.xxh64_intdigest(row.tobytes()) - 2**63 for row in sig)
+                forms = slip_forms(key)
+                out_key.extend([key] * len(forms))
+                out_band.extend([-1] * len(forms))
+                out_hash.extend(xxhash.xxh64_intdigest(f) - 2**63 for f in forms)
             yield pd.DataFrame({"key": out_key, "band": out_band, "h": out_hash}, dtype=object)
 
     banded = parallel(keys.where(F.length("key") >= 5)).mapInPandas(run, "key string, band int, h long")

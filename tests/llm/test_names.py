@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from scholiast.llm.names import alike_keys, bands_for, edits, monge_elkan, name_clusters, p3_found, star_clusters
+from scholiast.llm.names import alike_keys, bands_for, edits, key_alike, monge_elkan, name_clusters, p3_found, star_clusters
 
 PEOPLE = [
     ["Eleanor Rudpumoor", "Rudpumoor, Eleanor", "E. Rudpumoor", "RUDPUMOOR, Eleanor", "Eleanor \"Nell\" Rudpumoor", "Rudpumoor, Nell", "Eleannor Rudpumoor", "Rudpumoor E"],
@@ -55,6 +57,20 @@ def test_alike_keys_find_typos(spark):
     assert got == {("rudpumoor", "rudpumor"), ("rudpumoor", "rupdumoor"), ("rudpumoor", "rudpumoorx")}
 
 
+def test_alike_keys_hold_every_pair(spark):
+    """Slips of short, long and very long parts against brute force, transpositions of five letters among them."""
+    r = random.Random(5)
+    keys = set()
+    for n in (5, 5, 6, 7, 8, 12, 19, 20, 21, 40) * 8:
+        w = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        k = r.randrange(n - 1)
+        keys |= {w, w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k + 1 :], w[:k] + "x" + w[k:]}
+    keys = sorted(keys)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if key_alike(a, b)}
+    got = {tuple(x) for x in alike_keys(spark.createDataFrame([(k, 1) for k in keys], "key string, n long")).collect()}
+    assert got == want
+
+
 def test_stars(spark):
     nodes = spark.createDataFrame([(k, True, 1) for k in range(6)], "rep long, full boolean, size long")
     edges = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9), (1, 3, 0.95), (3, 4, 0.99)], "a long, b long, sim double")

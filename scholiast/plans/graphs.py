@@ -38,11 +38,11 @@ EDGE_CTE = f"""{C}, {R}, {P}, ed AS (SELECT DISTINCT * FROM (
 EDGE_SQL = f"WITH {EDGE_CTE} SELECT * FROM ed"
 
 
-def evidence_closure(spark: SparkSession, sf: str, most: int = 12) -> DataFrame:
+def evidence_closure(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence each provenance owner rests on, through any number of references; cycles end where they meet.
 
     Every round joins only the pairs found in the last one and drops those seen before,
-    so it ends when nothing new is reached; `most` bounds the depth of a broken graph.
+    so it ends when nothing new is reached, at whatever depth.
     """
     e = edges(spark, sf)
     refs = e.where("type = 'derived_from'").select("paper_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
@@ -50,7 +50,7 @@ def evidence_closure(spark: SparkSession, sf: str, most: int = 12) -> DataFrame:
     owners = e.where("type = 'derived_from'").select("paper_id", F.col("source_id").alias("owner_id")).distinct()
     front = materialize(owners.join(refs.withColumnRenamed("a", "owner_id"), ["paper_id", "owner_id"]).select("paper_id", "owner_id", F.col("b").alias("at")).distinct())
     seen = front
-    for _ in range(most):
+    while True:
         step = front.join(refs.withColumnRenamed("a", "at"), ["paper_id", "at"]).select("paper_id", "owner_id", F.col("b").alias("at")).distinct()
         front = materialize(step.join(seen, ["paper_id", "owner_id", "at"], "left_anti"))
         if front.isEmpty():

@@ -6,6 +6,7 @@ from scholiast.operators.reader_scans import consolidate, reader_order, sentence
 from scholiast.plans.citations import author_year, contrast_sentences
 from scholiast.plans.corpus import page_group_binfill, quote_match_fuzzy
 from scholiast.plans.evidence import claims_dedup_greedy, click_resolution, semantic_titles
+from scholiast.plans.graphs import evidence_closure
 from scholiast.plans.pages import definition_lookup, script_json
 from scholiast.plans.reader import redacted_props
 from tests.test_layout import block
@@ -84,3 +85,10 @@ def test_reader_rules():
     assert [(r["joined"], r["n_merged"], r["kind"]) for r in consolidate(eq, 600, 800)] == [("x = y + z", 2, "equation"), ("one two three four five = x", 1, "text")]
     s = sentence_boxes([block(0, 0, 100, 300, 140, "It goes\non here. It\nends.")], 600, 800)
     assert [r["sentence"] for r in s] == ["It goes on here.", "It ends."] and s[1]["y1"] == 140
+
+
+def test_closure_of_a_long_chain(spark, tables):
+    """Evidence sixteen references away is reached, and a cycle ends."""
+    chain = [("a", f"o{k}", [f"o{k + 1}" if k < 15 else "e1", *(["o0"] if k == 9 else [])]) for k in range(16)]
+    sf = tables(provenance=(chain, "paper_id string, owner_id string, source_ids array<string>"), evidence=([("a", "e1")], "paper_id string, evidence_id string"))
+    assert {tuple(r) for r in evidence_closure(spark, sf).select("owner_id", "evidence_id").collect()} == {(f"o{k}", "e1") for k in range(16)}

@@ -408,9 +408,9 @@ def windows(texts: DataFrame, text: str) -> DataFrame:
     return found.groupBy(*WINDOW).agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5, entries: int = 300_000) -> Model:
-    """The model of a corpus. Counts cover every text; n-grams expected fewer than `least` times,
-    and beyond the `entries` most frequent, are left to their classes."""
+def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5) -> Model:
+    """The model of a corpus. Counts cover every text; n-grams expected fewer than `least` times
+    are left to their classes, whatever the size of the corpus."""
     rows = materialize(parallel(windows(texts, text)))
     model = None
     for _ in range(rounds):
@@ -425,7 +425,7 @@ def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5, entr
             yield pd.DataFrame({"k": list(total), "v": list(total.values())}, columns=["k", "v"], dtype=object)
 
         sums = rows.mapInPandas(run, "k string, v double").groupBy("k").agg(F.sum("v").alias("v"))
-        kept = sums.where((F.col("v") >= least) | F.col("k").rlike("^(Ec|S|Sc|N|Nc|Na|UC|D[BN])[|]")).orderBy(F.desc("v"), "k").limit(entries)
+        kept = sums.where((F.col("v") >= least) | F.col("k").rlike("^(Ec|S|Sc|N|Nc|Na|UC|D[BN])[|]")).orderBy(F.desc("v"), "k")
         model = Model({k: v for k, v in kept.toPandas().itertuples(index=False, name=None)})
     return model or Model({})
 

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from scholiast.llm.sentences import Model, analyse, enclosed, p2_found, sentences, split, train
@@ -61,3 +63,10 @@ def test_quotes_nest():
     assert sorted(spans) == [(2, 10), (5, 7)] and opener[10] == 2
     gaps, begin = analyse("A (b. C) d. E.")
     assert [g.at for g in gaps] == [11] and begin.l1 == "^"
+
+
+def test_no_count_is_cut_by_the_size_of_the_corpus(spark):
+    """More than 300,000 n-grams are all in the model."""
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqrst", repeat=4)]
+    texts = [(" ".join(f"on x{w} y{w}. E{w} z{w}." for w in words[k : k + 500]),) for k in range(0, 100_000, 500)] * 4
+    assert len(train(spark.createDataFrame(texts, "text string"), "text", rounds=1).c) > 300_000

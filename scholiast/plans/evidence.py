@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from scholiast.functions import geometry as G
 from scholiast.functions import text as T
-from scholiast.functions.readable import claim_summary, is_near_duplicate, sentence_spans
+from scholiast.functions.readable import Kept, claim_summary, sentence_spans
 from scholiast.operators.ordering import PAGE, clean_blocks, running_sum
-from scholiast.plans.layout import B, SECTION_SQL, q, section_segments
+from scholiast.plans.layout import PAGE_SECTION_SQL, SECTION_SQL, B, page_sections, q, section_segments
 from scholiast.runtime import table
 
 E = "e AS (SELECT DISTINCT paper_id, evidence_id, verbatim_text, text_sha256, page, block_ids, char_start, char_end, section_id, deleted_at FROM evidence)"
@@ -30,15 +30,46 @@ TITLE_RULES = (
     ("method_details", r"(?i)\b(method|approach|model|architecture|algorithm|training|objective|implementation)\b"),
     ("research_task", r"(?i)\b(task|problem setup|preliminar)\b|\b(abstract|introduction)\b"),
 )
-TEXT_RULES = (
-    ("method_overview", r"(?i)\bwe\s+(?:propose|present|introduce)\b"),
-    ("conclusion_limitations", TITLE_RULES[0][1]),
-    ("analysis", TITLE_RULES[2][1]),
-    ("experimental_setup", TITLE_RULES[3][1]),
-    ("main_results", r"(?i)\b(experiments?|experimental|results?|evaluation|benchmark|ablation|accuracy|outperform\w*|performance|metrics?)\b"),
-    ("training_inference", TITLE_RULES[6][1]),
-    ("method_details", r"(?i)\b(method|approach|model|architecture|algorithm|train|framework|objective|propos|introduc|comput|concatenat|project|encode|decode|generat|normaliz|optim|update)\w*\b"),
-    ("motivation", r"(?i)\b(problem|challenge|limitation|motivat|question|gap|failure|difficult|lack|need)\w*\b"),
+# The words of section titles and texts that the rules for claims ask for.
+RELATED = r"(?i)\b(related work|background|prior work|literature)\b"
+METHOD_TITLE = r"(?i)\b(method|approach|model|architecture|algorithm|training|objective|implementation)\b"
+EXPERIMENT_TITLE = r"(?i)\b(experiment|result|evaluation|benchmark|ablation|analysis|finding)s?\b"
+PROBLEM_TITLE = r"(?i)\b(motivation|problem|research question|diagnosis|diagnostic)\b"
+TASK_TITLE = r"(?i)\b(task|problem setup|preliminar)\b"
+OVERVIEW_TITLE = r"(?i)\b(overview|framework|architecture|system)\b"
+TRAINING = r"(?i)\b(train|training|inference|objective|loss|optimization|implementation)\b"
+SETUP = r"(?i)\b(setup|setting|dataset|metric|baseline|study(?:\s+\d+)?|participants?|procedure|implementation detail)\b"
+RESULT_TITLE = r"(?i)\b(main results?|results?|evaluation|performance|comparison)\b"
+ANALYSIS = r"(?i)\b(ablation|analysis|discussion|robustness|sensitivity|case stud|qualitative|error analysis)\b"
+CONCLUSION = r"(?i)\b(conclusion|limitation|future|broader impact|opportunit)\w*\b"
+PRIOR_WORK = r"(?i)\b(?:previous|prior|earlier|existing|recent)(?:\s+[a-z-]+){0,4}\s+(?:work|approach|method|model|system)s?\b|\bhas been (?:proposed|studied|used)\b"
+CITED = r"(?i)\[[0-9,\s-]+\]|\bet al\."
+PROPOSES = r"(?i)\bwe\s+(?:propose|present|introduce)\b"
+EXPERIMENT = r"(?i)\b(experiments?|experimental|results?|evaluation|benchmark|ablation|accuracy|outperform\w*|performance|metrics?)\b"
+METHOD = r"(?i)\b(method|approach|model|architecture|algorithm|train|framework|objective|propos|introduc|comput|concatenat|project|encode|decode|generat|normaliz|optim|update)\w*\b"
+PROBLEM = r"(?i)\b(problem|challenge|limitation|motivat|question|gap|failure|difficult|lack|need)\w*\b"
+# Each rule: part, then what titles (t) or texts (s) must or must not show; the first that holds counts.
+CLAIM_RULES = (
+    ("conclusion_limitations", ("t", True, CONCLUSION)),
+    ("existing_methods", ("t", True, RELATED)),
+    ("analysis", ("t", True, ANALYSIS)),
+    ("experimental_setup", ("t", True, SETUP)),
+    ("main_results", ("t", True, RESULT_TITLE)),
+    ("main_results", ("t", True, EXPERIMENT_TITLE)),
+    ("training_inference", ("t", True, TRAINING)),
+    ("method_overview", ("t", True, OVERVIEW_TITLE), ("t", True, METHOD_TITLE)),
+    ("method_details", ("t", True, METHOD_TITLE)),
+    ("motivation", ("t", True, PROBLEM_TITLE), ("s", False, EXPERIMENT)),
+    ("research_task", ("t", True, TASK_TITLE)),
+    ("existing_methods", ("s", True, PRIOR_WORK), ("s", True, CITED)),
+    ("method_overview", ("s", True, PROPOSES)),
+    ("conclusion_limitations", ("s", True, CONCLUSION)),
+    ("analysis", ("s", True, ANALYSIS)),
+    ("experimental_setup", ("s", True, SETUP)),
+    ("main_results", ("s", True, EXPERIMENT)),
+    ("training_inference", ("s", True, TRAINING)),
+    ("method_details", ("s", True, METHOD)),
+    ("motivation", ("s", True, PROBLEM)),
 )
 SLOTS = {"research_task": 4, "method_overview": 4, "method_details": 4, "main_results": 4}
 
@@ -114,9 +145,9 @@ SELECT paper_id, evidence_id, arg_min(block_id, k) AS first_block, arg_max(block
 _BAD = (r"[=<>≤≥≻]", r"(?i)\b(?:Sec|Fig|Eq)\.$", r"\b[0-9]+[A-Z][a-z]", r":\s+[A-Z][A-Za-z-]*(?:\s+[A-Za-z-]+){0,2}\.$", r"@|\b[A-Z]\.$")
 
 
-def claim_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence whose text can stand as a claim, with its importance."""
-    e = clean_evidence(spark, sf).withColumn("s", T.squeeze(F.col("verbatim_text")))
+def claims_of(evidence: DataFrame) -> DataFrame:
+    """Evidence rows (paper_id, evidence_id, verbatim_text) whose text can stand as a claim, with its importance; null texts cannot."""
+    e = evidence.withColumn("s", T.squeeze(F.col("verbatim_text")))
     first = F.regexp_extract("s", r"\p{L}", 0)
     ok = F.length("s").between(35, 1200) & ~first.rlike(r"^\p{Ll}")
     for bad in _BAD:
@@ -124,6 +155,11 @@ def claim_filter(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(ok).select("paper_id", "evidence_id", F.when(F.col("s").rlike(T.CLAIM_CUE), "primary").otherwise("context").alias("importance"))
 
 
+def claim_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence whose text can stand as a claim, with its importance."""
+    return claims_of(clean_evidence(spark, sf))
+
+
 _ES = f"trim(regexp_replace(verbatim_text, '{T.WS}+', ' ', 'g'))"
 CLAIM_FILTER_SQL = f"""
 WITH {E}, t AS (SELECT *, {_ES} AS s FROM e)
@@ -142,15 +178,19 @@ def _route_sql(rules: tuple, c: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, {q(p)}) THEN '{n}'" for n, p in rules) + " END"
 
 
-def section_router(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of the reader's story that each section can support, by its title."""
-    s = section_segments(spark, sf)
+def routed_sections(s: DataFrame) -> DataFrame:
+    """The part of the story each section (paper_id, section_no, title) can support; titles that are noise have no row."""
     words = F.regexp_count("title", F.lit(r"[^ ]+"))
     numeric = F.regexp_count("title", F.lit(r"(?:^| )[0-9.,%]+(?= |$)"))
     noise = F.col("title").rlike(r"(?i)@|arXiv") | (numeric * 2 > words)
     return s.where(~noise).select("paper_id", "section_no", _route(TITLE_RULES, F.col("title")).alias("part"))
 
 
+def section_router(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of the reader's story that each section can support, by its title."""
+    return routed_sections(section_segments(spark, sf))
+
+
 SECTION_ROUTER_SQL = f"""
 WITH s AS ({SECTION_SQL}) SELECT paper_id, section_no, {_route_sql(TITLE_RULES, "title")} AS part FROM s
 WHERE NOT (regexp_matches(title, '(?i)@|arXiv') OR len(list_filter(string_split(title, ' '), lambda x: regexp_full_match(x, '[0-9.,%]+'))) * 2 > len(list_filter(string_split(title, ' '), lambda x: x <> '')))"""
@@ -168,15 +208,36 @@ _CE = f"""{E}, {C}, ce AS (SELECT DISTINCT c.paper_id, claim_id, summary, import
 
 
 def claim_router(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of the story each claim belongs to, by its words, with a mark where none tells."""
-    ce = claim_evidence(spark, sf).groupBy("paper_id", "claim_id").agg(F.first("summary").alias("summary"), F.array_join(F.array_sort(F.collect_list("verbatim_text")), " ").alias("said"))
-    part = _route(TEXT_RULES, F.concat_ws(" ", "summary", "said"))
-    return ce.select("paper_id", "claim_id", F.coalesce(part, F.lit("research_task")).alias("part"), part.isNull().alias("fallback"))
-
+    """The part of the story each claim belongs to, with a mark where nothing tells.
 
+    Titles of the sections that its evidence stands in outrank its words. A claim without
+    evidence that is there has no row; null summaries and unknown sections add no words.
+    """
+    ce = claim_evidence(spark, sf)
+    said = ce.groupBy("paper_id", "claim_id").agg(F.first("summary").alias("summary"), F.array_join(F.array_sort(F.collect_list("verbatim_text")), " ").alias("said"))
+    at = page_sections(spark, sf).select("paper_id", "page", "title")
+    under = ce.select("paper_id", "claim_id", "page").distinct().join(at, PAGE).groupBy("paper_id", "claim_id").agg(F.array_join(F.array_sort(F.collect_set("title")), " ").alias("titles"))
+    j = said.join(under, ["paper_id", "claim_id"], "left").withColumn("titles", F.coalesce("titles", F.lit(""))).withColumn("s", F.concat_ws(" ", "summary", "said"))
+    tests = {"t": F.col("titles"), "s": F.col("s")}
+    part = None
+    for name, *needs in CLAIM_RULES:
+        hit = F.lit(True)
+        for where, wanted, pattern in needs:
+            found = tests[where].rlike(pattern)
+            hit = hit & (found if wanted else ~found)
+        part = F.when(hit, name) if part is None else part.when(hit, name)
+    return j.select("paper_id", "claim_id", F.coalesce(part, F.lit("research_task")).alias("part"), part.isNull().alias("fallback"))
+
+
+_CLAIM_CASE = "CASE " + " ".join(
+    "WHEN " + " AND ".join(("" if wanted else "NOT ") + f"regexp_matches({'titles' if where == 't' else 's'}, {q(p)})" for where, wanted, p in needs) + f" THEN '{name}'" for name, *needs in CLAIM_RULES
+) + " END"
 CLAIM_ROUTER_SQL = f"""
-WITH {_CE}, t AS (SELECT paper_id, claim_id, concat_ws(' ', any_value(summary), string_agg(verbatim_text, ' ' ORDER BY verbatim_text)) AS s FROM ce GROUP BY ALL)
-SELECT paper_id, claim_id, coalesce({_route_sql(TEXT_RULES, "s")}, 'research_task') AS part, {_route_sql(TEXT_RULES, "s")} IS NULL AS fallback FROM t"""
+WITH {_CE}, heads AS ({PAGE_SECTION_SQL}), t AS (SELECT ce.paper_id, claim_id, concat_ws(' ', any_value(summary), string_agg(verbatim_text, ' ' ORDER BY verbatim_text)) AS s FROM ce GROUP BY ALL),
+u AS (SELECT paper_id, claim_id, string_agg(title, ' ' ORDER BY title) AS titles FROM (SELECT DISTINCT ce.paper_id, claim_id, title FROM ce JOIN heads ON heads.paper_id = ce.paper_id AND heads.page = ce.page) GROUP BY ALL),
+j AS (SELECT t.paper_id, t.claim_id, s, coalesce(titles, '') AS titles FROM t LEFT JOIN u ON u.paper_id = t.paper_id AND u.claim_id = t.claim_id),
+r AS (SELECT paper_id, claim_id, {_CLAIM_CASE} AS p FROM j)
+SELECT paper_id, claim_id, coalesce(p, 'research_task') AS part, p IS NULL AS fallback FROM r"""
 
 
 def top2_per_section(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,11 +386,11 @@ def claims_dedup_greedy(spark: SparkSession, sf: str) -> DataFrame:
     once = ce.groupBy("paper_id", "section_id", "fp").agg(F.min("claim_id").alias("claim_id"))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
+        kept = Kept()
         rows = []
         for r in pdf.sort_values("claim_id").itertuples():
-            if r.fp and not is_near_duplicate(r.fp, kept):
-                kept.append(r.fp)
+            if r.fp and not kept.holds(r.fp):
+                kept.add(r.fp)
                 rows.append(r.Index)
         return pdf.loc[rows, ["paper_id", "section_id", "claim_id"]]
 

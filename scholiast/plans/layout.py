@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholiast.functions import geometry as G
 from scholiast.functions import text as T
 from scholiast.operators.ordering import PAGE, clean_blocks, running_sum
-from scholiast.operators.page_scans import caption_texts, merge_boxes, merge_continuations, order_page, page_formulas
+from scholiast.operators.page_scans import caption_texts, merge_boxes, merge_continuations, page_formulas, scan_pages
+from scholiast.operators.reading import COLUMN_SQL, READING_SQL, column_order
 
 B = "b AS (SELECT DISTINCT paper_id, page, ord, block_id, text, bbox, role, font_size_median FROM blocks)"
 _SQ = f"trim(regexp_replace(text, '{T.WS}+', ' ', 'g'))"
@@ -269,42 +269,43 @@ def block_histogram(spark: SparkSession, sf: str) -> DataFrame:
 HISTOGRAM_SQL = f"WITH {B} SELECT coalesce(role, 'none') AS role, count(*) AS n_blocks, count(DISTINCT paper_id) AS n_papers FROM b GROUP BY ALL"
 
 
-def _per_page(spark: SparkSession, sf: str, run, schema: str) -> DataFrame:
-    """A function of the blocks of one page, which are few."""
+def flat_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks with a box, its corners as columns; a null text is empty, a null role is body."""
     b = clean_blocks(spark, sf).where("bbox is not null and size(bbox) = 4")
-    flat = b.select(*PAGE, "ord", "block_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("body")).alias("role"), *(G.side(F.col("bbox"), i).alias(f"c{i}") for i in range(4)))
+    return b.select(*PAGE, "ord", "block_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("body")).alias("role"), *(G.side(F.col("bbox"), i).alias(f"c{i}") for i in range(4)))
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ord", "block_id"]).to_dict("records")
-        out = run(rows, G.WIDTH, G.HEIGHT)
-        return pd.DataFrame([{"paper_id": rows[0]["paper_id"], "page": rows[0]["page"], **o} for o in out], columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return flat.groupBy(*PAGE).applyInPandas(page, schema)
+def per_page(spark: SparkSession, sf: str, run, schema: str) -> DataFrame:
+    """A rule over the blocks of each page."""
+    return scan_pages(flat_blocks(spark, sf), PAGE, run, schema, G.WIDTH, G.HEIGHT)
 
 
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
     """The place of each block in the reading order of its page."""
-    return _per_page(spark, sf, order_page, "paper_id string, page int, block_id string, place int")
+    return column_order(flat_blocks(spark, sf).drop("text", "role"), G.WIDTH)
+
+
+READING_ORDER_SQL = READING_SQL.format(b=B) + COLUMN_SQL
 
 
 def continued_text(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of a page whose sentences run on from block to block, joined."""
-    return _per_page(spark, sf, merge_continuations, "paper_id string, page int, block_id string, n_merged int, joined string")
+    return per_page(spark, sf, merge_continuations, "paper_id string, page int, block_id string, n_merged int, joined string")
 
 
 def formula_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Display equations, joined over the blocks they are split into."""
-    return _per_page(spark, sf, page_formulas, "paper_id string, page int, block_id string, n_blocks int, formula string, label string")
+    return per_page(spark, sf, page_formulas, "paper_id string, page int, block_id string, n_blocks int, formula string, label string, char_start int, char_end int")
 
 
 def region_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of one kind that overlap, as one region."""
-    return _per_page(spark, sf, merge_boxes, "paper_id string, page int, role string, n_merged int, x0 double, y0 double, x1 double, y1 double")
+    return per_page(spark, sf, merge_boxes, "paper_id string, page int, role string, n_merged int, x0 double, y0 double, x1 double, y1 double")
 
 
 def caption_text(spark: SparkSession, sf: str) -> DataFrame:
     """Captions with the blocks that a trailing hyphen joins to them."""
-    return _per_page(spark, sf, caption_texts, "paper_id string, page int, block_id string, n_blocks int, caption string")
+    return per_page(spark, sf, caption_texts, "paper_id string, page int, block_id string, n_blocks int, caption string")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -314,5 +315,5 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "role_classify": ROLE_SQL, "formula_filter": FORMULA_SQL, "repeated_margin": MARGIN_SQL, "section_segments": SECTION_SQL, "page_sections": PAGE_SECTION_SQL,
     "body_runs": BODY_RUN_SQL, "caption_distinct": CAPTION_SQL, "upper_medians": MEDIAN_SQL, "bbox_normalise": BBOX_SQL, "overlap_join": OVERLAP_SQL,
-    "margin_filter": MARGIN_FILTER_SQL, "caption_neighbours": CAPTION_PIC_SQL, "nearest_caption": NEAREST_SQL, "table_cues": TABLE_CUE_SQL, "block_histogram": HISTOGRAM_SQL,
+    "margin_filter": MARGIN_FILTER_SQL, "caption_neighbours": CAPTION_PIC_SQL, "nearest_caption": NEAREST_SQL, "table_cues": TABLE_CUE_SQL, "block_histogram": HISTOGRAM_SQL, "reading_order": READING_ORDER_SQL,
 }

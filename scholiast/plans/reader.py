@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from scholiast.functions import geometry as G
 from scholiast.functions import text as T
 from scholiast.operators.ordering import clean_blocks, running_sum
-from scholiast.operators.reader_scans import consolidate, reader_order, sentence_boxes
+from scholiast.operators.reader_scans import consolidate, sentence_boxes
+from scholiast.operators.reading import READING_SQL, REGION_SQL, region_order
 from scholiast.plans.citations import EXPAND_SQL, FIELD_SQL, RELATION_SQL, citation_expand, citation_relation, clean_records, reference_fields
 from scholiast.plans.corpus import PA, papers
 from scholiast.plans.evidence import SECTION_ROUTER_SQL, C, E, clean_claims, clean_evidence, section_router
 from scholiast.plans.graphs import GATE_SQL, P, VIOLATION_SQL, clean_provenance, gate_counts, violations
-from scholiast.plans.layout import PAGE_SECTION_SQL, B, SECTION_CTE, SECTION_SQL, _per_page, headings, q, section_segments
+from scholiast.plans.layout import PAGE_SECTION_SQL, B, SECTION_CTE, SECTION_SQL, flat_blocks, headings, per_page, q, section_segments
 from scholiast.runtime import table
 
 _SQ = f"trim(regexp_replace(text, '{T.WS}+', ' ', 'g'))"
@@ -254,17 +255,20 @@ TARGET_SQL = "WITH c AS (SELECT DISTINCT paper_id, citation_id, title FROM citat
 
 def reader_reading_order(spark: SparkSession, sf: str) -> DataFrame:
     """The second extractor's reading order: regions between wide blocks, columns where both hold two or more."""
-    return _per_page(spark, sf, reader_order, "paper_id string, page int, block_id string, place int")
+    return region_order(flat_blocks(spark, sf).drop("text", "role"), G.WIDTH)
+
+
+READER_ORDER_SQL = READING_SQL.format(b=B) + REGION_SQL
 
 
 def equation_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Equations with the fragments on their line; too many words make them text again."""
-    return _per_page(spark, sf, consolidate, "paper_id string, page int, block_id string, n_merged int, joined string, kind string")
+    return per_page(spark, sf, consolidate, "paper_id string, page int, block_id string, n_merged int, joined string, kind string")
 
 
 def sentence_rectangles(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of body blocks with the box around the lines they stand on."""
-    return _per_page(spark, sf, sentence_boxes, "paper_id string, page int, block_id string, sentence_no int, sentence string, y0 double, y1 double")
+    return per_page(spark, sf, sentence_boxes, "paper_id string, page int, block_id string, sentence_no int, sentence string, y0 double, y1 double")
 
 
 def redacted_props(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,5 +284,5 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "title_argmax": TITLE_SQL, "abstracts": ABSTRACT_SQL, "outline": OUTLINE_SQL, "equation_lines": EQUATION_SQL, "section_briefs": BRIEF_SQL, "relation_rank": RANK_SQL, "visual_requests": VISUAL_SQL, "content_overlay": OVERLAY_SQL,
-    "schema_violations": SCHEMA_SQL, "review_report": REPORT_SQL, "issue_list": ISSUE_SQL, "label_dereference": DEREF_SQL, "companions": COMPANION_SQL, "data_uris": URI_SQL, "query_targets": TARGET_SQL,
+    "schema_violations": SCHEMA_SQL, "review_report": REPORT_SQL, "issue_list": ISSUE_SQL, "label_dereference": DEREF_SQL, "companions": COMPANION_SQL, "data_uris": URI_SQL, "query_targets": TARGET_SQL, "reader_reading_order": READER_ORDER_SQL,
 }

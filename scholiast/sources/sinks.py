@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 def write_stage(df: DataFrame, path: str, stage: str, version: str, input_hash: str, attempt: int = 1, status: str = "passed") -> None:
-    """Append a stage's rows with who made them from what, partitioned by stage."""
+    """Write a stage's rows with who made them from what; rows of the same stage, version and input are replaced, so a retry repeats none."""
     sealed = df.withColumns({"stage": F.lit(stage), "stage_version": F.lit(version), "input_hash": F.lit(input_hash), "attempt": F.lit(attempt), "status": F.lit(status), "created_at": F.current_timestamp()})
-    sealed.write.mode("append").partitionBy("stage").parquet(path)
+    sealed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "stage_version", "input_hash").parquet(path)
 
 
 def write_text(path: str, text: str) -> None:

@@ -2,7 +2,7 @@
 
 import json
 
-from scholiast.operators.reader_scans import consolidate, reader_order, sentence_boxes
+from scholiast.operators.reader_scans import consolidate, sentence_boxes
 from scholiast.plans.citations import author_year, contrast_sentences
 from scholiast.plans.corpus import page_group_binfill, quote_match_fuzzy
 from scholiast.plans.evidence import claims_dedup_greedy, click_resolution, semantic_titles
@@ -78,8 +78,6 @@ def test_secrets_are_masked(spark):
 
 
 def test_reader_rules():
-    b = [block(0, 40, 100, 290, 200), block(1, 310, 90, 560, 200), block(2, 40, 210, 290, 300), block(3, 310, 210, 560, 300), block(4, 40, 320, 560, 340), block(5, 310, 350, 560, 360)]
-    assert [r["block_id"] for r in reader_order(b, 600, 800)] == ["b0", "b2", "b1", "b3", "b4", "b5"]
     eq = [block(0, 100, 100, 200, 110, "x = y", "formula"), block(1, 205, 101, 230, 109, "+ z"), block(2, 400, 100, 500, 110, "far"), block(3, 100, 300, 200, 310, "one two three four five = x", "formula")]
     # words below three letters do not count as prose
     assert [(r["joined"], r["n_merged"], r["kind"]) for r in consolidate(eq, 600, 800)] == [("x = y + z", 2, "equation"), ("one two three four five = x", 1, "text")]

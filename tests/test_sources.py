@@ -78,6 +78,30 @@ def test_pipeline_is_made_once(spark, tmp_path):
     assert {x["status"] for x in log} == {"cache_hit"}
 
 
+def test_changed_table_makes_its_stages_anew(spark, tmp_path):
+    """New data under one path is seen, stages after a changed one are made again, others are read."""
+    folder, root = str(tmp_path / "sf"), str(tmp_path / "root")
+    os.makedirs(folder)
+    for name in ("blocks", "citations", "evidence"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    frames, _ = pipeline.run_pipeline(spark, folder, root)
+    n = frames["related"].count(), frames["references"].count()
+    one = spark.read.parquet("/root/testdata/sf0.001/citations.parquet").where("raw_reference is not null").limit(1)
+    one.selectExpr("'new' as paper_id", *one.columns[1:]).write.mode("append").parquet(f"{folder}/citations.parquet")
+    frames, log = pipeline.run_pipeline(spark, folder, root)
+    assert frames["references"].count() == n[1] + 1
+    assert {x["stage"] for x in log if x["status"] == "passed"} == {"references", "related"}
+    assert {x["stage"] for x in log if x["status"] == "cache_hit"} == {"sections", "parts", "evidence", "claims", "cited"}
+
+
+def test_stage_rows_are_not_repeated(spark, tmp_path):
+    for attempt in (1, 2):
+        sinks.write_stage(spark.range(3), str(tmp_path / "s"), "a", "1", "h", attempt)
+    sinks.write_stage(spark.range(2), str(tmp_path / "s"), "b", "1", "h")
+    got = spark.read.parquet(str(tmp_path / "s")).groupBy("stage").agg({"attempt": "max", "id": "count"}).collect()
+    assert {tuple(r) for r in got} == {("a", 2, 3), ("b", 1, 2)}
+
+
 def test_models(spark):
     assert models.parse_payload('x {"result": "{\\"a\\": 1}"} y') == {"a": 1}
     assert models.parse_payload("no") is None

@@ -9,7 +9,6 @@ QUERIES = {
     "p4_found": orphans.p4_found,
     "p4_monthly": orphans.p4_monthly,
     "p4_current": orphans.p4_current,
-    "p4_report": orphans.p4_report,
     "p6_found": packed_values.p6_found,
 }
 
@@ -39,11 +38,6 @@ SQL = {
     "p4_found": _ORPHANS + "SELECT ref_field, paper_id, owner_id, ref_id FROM orphans",
     "p4_monthly": _ORPHANS + "SELECT ref_field, strftime(ref_at, '%Y-%m') AS month, count(*) AS n_orphans FROM orphans GROUP BY ALL",
     "p4_current": f"""
-WITH {_REFS}
-SELECT paper_id, ref_id, count(*) AS refs FROM refs r WHERE ref_field = 'claims.evidence_ids' AND NOT EXISTS (
-  SELECT 1 FROM evidence e WHERE e.paper_id = r.paper_id AND lower(trim(e.evidence_id)) = r.ref_id AND e.deleted_at IS NULL)
-GROUP BY ALL""",
-    "p4_report": f"""
 WITH {_REFS},
 live AS (
   SELECT 'e' AS kind, paper_id, lower(trim(evidence_id)) AS ref_id FROM evidence WHERE deleted_at IS NULL

@@ -4,7 +4,9 @@ Every table is read as a stream of deltas on keys: a row that comes in adds one
 existence count of its key, its deletion takes one away, a referring row adds one to the
 reference count of each key it names. A key is an orphan while its reference count is
 positive and its existence count is zero. `merge_counts` maintains the counts as batches
-of deltas arrive; `orphan_references` evaluates them at each reference's own time.
+of deltas arrive. A reference made at some time is judged by the counts of its key in the
+epoch it falls in: the existence deltas of a key part time into epochs, and references
+and existence are counted per key and epoch (`orphan_references`).
 """
 
 from __future__ import annotations
@@ -67,19 +69,13 @@ def existence(df: DataFrame, scope: list[str], key: str) -> DataFrame:
     )
 
 
-def _count_at(deltas: Column, at: Column) -> Column:
-    return F.coalesce(F.aggregate(F.filter(deltas, lambda x: x["ts"] <= at), F.lit(0), lambda a, x: a + x["d"]), F.lit(0))
+def timelines(spark: SparkSession, sf_dir: str, refs: DataFrame) -> DataFrame:
+    """ref_field, paper_id, ref_id, deltas of every referred key: the signed existence deltas of all rows it can name, by time.
 
-
-def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References whose named key had an existence count of zero at their own time.
-
-    Existence has one row per key, so a hot key can only swell the referring side of the
-    joins, which adaptive execution splits. Ids of the first two fields name evidence of
-    the same paper; source_ids name evidence, blocks, claims or citations of the same
-    paper, or metadata records. Null ids name nothing.
+    Ids of the first two fields name evidence of the same paper; source_ids name evidence,
+    blocks, claims or citations of the same paper, or metadata records. Null ids name
+    nothing. Existence has one row per key and table, so a hot key is one row here.
     """
-    refs = references(spark, sf_dir)
     own = None
     for name, key in KEYED.items():
         part = existence(table(spark, sf_dir, name), ["paper_id"], key).withColumn("named", F.lit(name))
@@ -90,12 +86,43 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.flatten(F.collect_list("deltas")).alias("own_deltas"),
     )
     records = existence(table(spark, sf_dir, "metadata"), [], "record_id").withColumnRenamed("deltas", "record_deltas")
-    any_kind = F.col("ref_field") == "provenance.source_ids"
-    joined = refs.join(own, ["paper_id", "ref_id"], "left").join(records, "ref_id", "left")
-    live = F.when(any_kind, _count_at(F.col("own_deltas"), F.col("at")) + _count_at(F.col("record_deltas"), F.col("at"))).otherwise(
-        _count_at(F.col("evidence_deltas"), F.col("at"))
-    )
-    return joined.where(live <= 0).select("ref_field", "paper_id", "owner_id", "ref_id", "at")
+    keys = refs.select("ref_field", "paper_id", "ref_id").distinct()
+    joined = keys.join(own, ["paper_id", "ref_id"], "left").join(records, "ref_id", "left")
+    none = F.expr("cast(array() as array<struct<ts: timestamp_ntz, d: int>>)") if dict(refs.dtypes)["at"] == "timestamp_ntz" else F.expr("cast(array() as array<struct<ts: timestamp, d: int>>)")
+    any_kind = F.concat(F.coalesce("own_deltas", none), F.coalesce("record_deltas", none))
+    deltas = F.when(F.col("ref_field") == "provenance.source_ids", any_kind).otherwise(F.coalesce("evidence_deltas", none))
+    return joined.select("ref_field", "paper_id", "ref_id", F.array_sort(deltas).alias("deltas"))
+
+
+KEY = ["ref_field", "paper_id", "ref_id"]
+
+
+def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys equal null keys."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*(f"_{k}" for k in keys))
+
+
+def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose named key had references and no existence in the epoch of their own time.
+
+    The epoch of an instant is the number of existence deltas of the key up to it. Counts
+    per key and epoch are maintained as in `merge_counts`; references of an orphan key and
+    epoch are orphans. A hot key only swells the referring side of the joins, which
+    adaptive execution splits; its counts combine before they are shuffled.
+    """
+    refs = references(spark, sf_dir)
+    lines = timelines(spark, sf_dir, refs)
+    made = _match(refs, lines, KEY).withColumn("epoch", F.size(F.filter("deltas", lambda x: x["ts"] <= F.col("at")))).drop("deltas")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    epochs = lines.select(*KEY, F.posexplode(F.concat(F.array(F.lit(0)), F.transform("deltas", lambda x, i: F.aggregate(F.slice("deltas", 1, i + 1), F.lit(0), lambda a, y: a + y["d"])))).alias("epoch", "n"))
+    counts = made.select(*KEY, "epoch", one.alias("refs"), zero.alias("exists")).unionByName(epochs.select(*KEY, "epoch", zero.alias("refs"), F.col("n").cast("long").alias("exists")))
+    orphan = orphan_keys(merge_counts(None, counts)).select(*KEY, "epoch")
+    return _match(made, orphan, [*KEY, "epoch"], "left_semi").select("ref_field", "paper_id", "owner_id", "ref_id", "at")
 
 
 def merge_counts(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
@@ -126,15 +153,6 @@ def p4_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence keys of claims that lead nowhere once all deltas are in, with their reference counts."""
-    refs = references(spark, sf_dir).where(F.col("ref_field") == "claims.evidence_ids")
-    refs = refs.select("paper_id", "ref_id", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("exists"))
-    seen = existence(table(spark, sf_dir, "evidence"), ["paper_id"], "evidence_id")
-    seen = seen.select("paper_id", "ref_id", F.lit(0).cast("long").alias("refs"), F.aggregate("deltas", F.lit(0), lambda a, x: a + x["d"]).cast("long").alias("exists"))
-    return orphan_keys(merge_counts(None, refs.unionByName(seen))).select("paper_id", "ref_id", "refs")
-
-
 def count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed deltas (ref_field, paper_id, ref_id, refs, exists) of all referring fields and all tables they name.
 
@@ -151,11 +169,11 @@ def count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         fields = F.array(*map(F.lit, FIELDS)) if name == "evidence" else F.array(any_kind)
         rows = existence(table(spark, sf_dir, name).where("paper_id is not null"), ["paper_id"], key)
         deltas = deltas.unionByName(rows.select(F.explode(fields).alias("ref_field"), "paper_id", "ref_id", none.alias("refs"), exists))
-    named = refs.where(F.col("ref_field") == any_kind).select("ref_field", "paper_id", "ref_id").distinct()
+    named = refs.where(F.col("ref_field") == any_kind).select(*KEY).distinct()
     records = existence(table(spark, sf_dir, "metadata"), [], "record_id")
     return deltas.unionByName(named.join(records, "ref_id").select("ref_field", "paper_id", "ref_id", none.alias("refs"), exists))
 
 
-def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of every referring field that lead nowhere once all deltas are in, with their reference counts."""
     return orphan_keys(merge_counts(None, count_deltas(spark, sf_dir))).select("ref_field", "paper_id", "ref_id", "refs")

@@ -98,4 +98,4 @@ def test_report_counts_every_field_and_table(spark, tables):
     )
     cl, ci, pv = "claims.evidence_ids", "citations.cited_in_evidence_ids", "provenance.source_ids"
     want = {(cl, "a", "block:1", 2), (ci, "a", "evidence:2", 1), (pv, "a", "record:2", 1), (pv, "a", "evidence:2", 1), (pv, "a", "x", 1), (pv, "b", "block:1", 1), (pv, None, "evidence:3", 1)}
-    assert {tuple(r) for r in catalog.QUERIES["p4_report"](spark, sf).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["p4_current"](spark, sf).collect()} == want

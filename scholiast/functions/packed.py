@@ -3,13 +3,15 @@
 The tokenizer walks a field once and tracks three things: whether it is inside a
 packing quote (doubled quotes and backslashes escape), the nesting depth of brackets,
 and the start of the current value. Only delimiters outside quotes and at depth zero
-separate values. Two profiles decide which delimiters count: lists of names and lists
-of bibliography entries.
+separate values. Two profiles decide which delimiters count: lists of names (`scan`) and
+lists of bibliography entries (`entry_marks`), whose quotes and brackets are often left open
+and whose entries also begin at marks that count them.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 # Delimiters that separate wherever they stand outside quotes.
 HARD = ";；|｜\t\r\n·、"
@@ -175,44 +177,128 @@ def _org_open(cur: str, nxt: str, mark: str, following: str) -> bool:
 
 
 _MARKER = re.compile(r"\s*(?:\[\d{1,5}\]|\(\d{1,5}\)|\(\w\)|\d{1,5}[.)](?=\s))\s*")
-_NUMBERED = (re.compile(r"\[(\d{1,5})\]\s"), re.compile(r"(?<![\w.(\[–-])(\d{1,5})\.\s"), re.compile(r"\((\w)\)\s"))
-_ENDS = re.compile(r"[.…”»\"'\]）)]\s*$")
+# How a mark that counts entries can look: in square brackets, with a full stop, a letter or digit in round ones.
+_COUNTS = (re.compile(r"\[(\d{1,5})\](?=\s)"), re.compile(r"(?<![\w.(\[–-])(\d{1,5})\.(?=\s)"), re.compile(r"\((\w)\)(?=\s)"))
+_FIRST_LETTERS = "aAiα"
+_ENDING = ".…”»\"'])）"
+# Delimiters of entries and what each asks of the text before it: nothing, a closed entry, or a closed entry that is no list of authors.
+_BREAK = re.compile(r"(?P<line>[\r\n\t]+)|(?P<bar>\s+(?://+|\|+|·)\s+|\|\|)|(?P<semicolon>\s*[;；]\s+)")
+_LONG_TAIL = re.compile(r"(?:\d|[^\W\d_]{2,}|\])[.”\"]*\.$")
+_INITIAL = re.compile(r"(?:^|\W)[^\W\d_]\.$")
+_PAIRED = {"(": ")", "[": "]", "{": "}", "（": "）", "“": "”", "«": "»", "„": "“”"}
+_WATCHED = re.compile(r"[\\\"\[\](){}（）“”«»„;；|\d\r\n\t]|\s(?=[\s/|·;；])")
 
 
-def _markers(text: str, pattern: re.Pattern, outside: list[bool]) -> list[int]:
-    """Starts of markers that count upwards from the one that opens the field."""
-    first = pattern.match(text)
-    if not first:
-        return []
-    rank = lambda s: int(s) if s.isdigit() else ord(s)
-    if not first[1].isdigit() and first[1] not in "aAiα":
-        return []
-    starts, last = [0], rank(first[1])
-    for m in pattern.finditer(text, first.end()):
-        if rank(m[1]) == last + 1 and outside[m.start()] and _ENDS.search(text[: m.start()]):
-            starts.append(m.start())
-            last += 1
-    return starts if len(starts) > 1 else []
-
-
-def _outside(text: str) -> list[bool]:
-    """For each character, whether it stands outside typographic quotes."""
-    out, depth = [], 0
-    for ch in text:
-        if ch in "“«„":
-            depth += 1
-        out.append(depth == 0)
-        if ch in "”»" and depth:
-            depth -= 1
-    return out if depth == 0 else [True] * len(text)
+class Mark(NamedTuple):
+    """A place outside quotes and brackets where entries may part."""
 
+    kind: str  # line, bar, semicolon, or count0.. by the look of the mark
+    start: int
+    end: int
+    rank: int = 0
 
-_ENTRY_SEMICOLON = re.compile(r"\s*[;；]\s+")
-_LONG_TAIL = re.compile(r"(?:\d|[^\W\d_]{2,}|\])[.”\"]*\.$")
+
+def entry_marks(text: str) -> list[Mark]:
+    """Delimiters and counting marks of an entry field outside quotes and brackets, in order.
+
+    One walk with a stack of open quotes and brackets, each with the number of marks seen
+    before it: when one closes, the marks within it are taken back. One that never closes
+    protects nothing. A backslash takes the next character out of account; a straight quote opens
+    behind a blank or bracket and closes before a blank, mark or bracket.
+    """
+    marks: list[Mark] = []
+    stack: list[tuple[str, int]] = []
+
+    def close(ch: str) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if ch in (_PAIRED.get(stack[k][0]) or stack[k][0]):
+                del marks[stack[k][1] :]
+                del stack[k:]
+                return
+
+    i = 0
+    while m := _WATCHED.search(text, i):
+        i = m.start()
+        ch = text[i]
+        before = text[i - 1] if i else " "
+        if ch == "\\":
+            i += 2
+            continue
+        n = "[d(".find("d" if ch.isdigit() else ch)
+        if n >= 0 and (c := _COUNTS[n].match(text, i)):
+            marks.append(Mark(f"count{n}", i, c.end(), int(c[1]) if c[1].isdigit() else ord(c[1])))
+            i = c.end()
+        elif (ch.isspace() or ch in ";；|") and (c := _BREAK.match(text, i)):
+            marks.append(Mark(c.lastgroup, i, c.end()))
+            # the blank behind a delimiter may belong to the next mark
+            i = c.end()
+        elif ch == '"':
+            after = text[i + 1] if i + 1 < len(text) else " "
+            if (before.isspace() or before in "([{“") and not after.isspace():
+                stack[:] = [s for s in stack if s[0] != '"']
+                stack.append((ch, len(marks)))
+            elif any(s[0] == '"' for s in stack):
+                close(ch)
+            i += 1
+        elif any(s[0] == "„" for s in stack) and ch == "“":
+            close(ch)
+            i += 1
+        elif ch in _PAIRED:
+            stack.append((ch, len(marks)))
+            i += 1
+        elif ch in ")]}）”»":
+            close(ch)
+            i += 1
+        elif ch.isdigit():
+            while i < len(text) and text[i].isdigit():
+                i += 1
+        else:
+            i += 1
+    return marks
+
+
+def _closed(text: str, at: int) -> bool:
+    """Whether what stands before a place can end an entry."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at > 0 and text[at - 1] in _ENDING
+
+
+def _counted(text: str, marks: list[Mark]) -> list[int]:
+    """Starts of the entries whose marks count upwards from the one that opens the field, itself or behind another mark; [] if there are none."""
+    head = _MARKER.match(text)
+    for opening in (0, head.end() if head else 0):
+        for n in range(len(_COUNTS)):
+            own = [m for m in marks if m.kind == f"count{n}" and m.start >= opening]
+            if not own or own[0].start != opening or (n == 2 and not text[own[0].start + 1].isdigit() and text[own[0].start + 1] not in _FIRST_LETTERS):
+                continue
+            starts, last = [opening], own[0].rank
+            for m in own[1:]:
+                if m.rank == last + 1 and _closed(text, m.start):
+                    starts.append(m.start)
+                    last += 1
+            if len(starts) > 1:
+                return starts
+    return []
+
+
+def _parts(text: str, start: int, m: Mark) -> bool:
+    """Whether a delimiter parts two entries, by the text from start to it."""
+    if m.kind == "bar":
+        return True
+    if m.kind == "line":
+        return _closed(text, m.start)
+    tail = text[max(start, m.start - 80) : m.start].rstrip()
+    word = tail.rsplit(None, 1)[-1] if tail else ""
+    return bool(_LONG_TAIL.search(tail)) and word.lower() != "al." and not _INITIAL.search(word)
 
 
 def split_entries(field: str | None) -> list[str]:
-    """Bibliography entries of a packed field, in order; [] for a null, empty or blank field."""
+    """Bibliography entries of a packed field, in order; [] for a null, empty or blank field.
+
+    Fields all of whose values are quoted are cut by `scan`; any other by the marks that
+    `entry_marks` finds outside quotes and brackets: counting marks first, else delimiters.
+    """
     if field is None or not (text := field.strip()):
         return []
     if text.startswith('["') and text.endswith('"]'):
@@ -221,27 +307,14 @@ def split_entries(field: str | None) -> list[str]:
         pieces = [p for seg in scan(text, hard=";；|｜\n\r\t", soft=False) for p in seg]
         if all(q or not v for v, q, _ in pieces):
             return [e for v, _, _ in pieces if (e := _unmarked(v))]
-    outside = _outside(text)
-    for head in ("", _MARKER.match(text)[0] if _MARKER.match(text) else ""):
-        for pattern in _NUMBERED:
-            body = text[len(head):]
-            if starts := _markers(body, pattern, outside[len(head):]):
-                cuts = [*starts, len(body)]
-                return [e for a, b in zip(cuts, cuts[1:]) if (e := _unmarked(body[a:b]))]
+    marks = entry_marks(text)
+    if starts := _counted(text, marks):
+        return [e for a, b in zip(starts, [*starts[1:], len(text)]) if (e := _unmarked(text[a:b]))]
     cuts, start = [], 0
-    for m in re.finditer(r"[\r\n\t]+|\s+(?://+|\|+|·)\s+|\|\||" + _ENTRY_SEMICOLON.pattern, text):
-        if not outside[m.start()]:
-            continue
-        piece = text[start : m.start()].rstrip()
-        kind = m[0].strip()
-        if kind in (";", "；"):
-            tail = piece.rsplit(None, 1)[-1] if piece.split() else ""
-            if not _LONG_TAIL.search(piece) or tail.lower() == "al." or re.search(r"(?:^|\W)[^\W\d_]\.$", tail):
-                continue
-        elif not kind and not _ENDS.search(piece):
-            continue
-        cuts.append((start, m.start()))
-        start = m.end()
+    for m in marks:
+        if not m.kind.startswith("count") and _parts(text, start, m):
+            cuts.append((start, m.start))
+            start = m.end
     cuts.append((start, len(text)))
     return [e for a, b in cuts if (e := _unmarked(text[a:b]))]
 

@@ -47,6 +47,9 @@ A, B = "Ray, A. (1999). On peat. J. Soil, 3(1), 4-9.", "B. Lee, “On moss,” J
         (f"{A} | {B}", [A, B]),
         (f"{A}\n{B}", [A, B]),
         (f"{A}; {B}", [A, B]),
+        (f"[1] {A} [2] Lee, B. \"On [9] moss; x 1. 3. \" J. 2001.", [A, "Lee, B. \"On [9] moss; x 1. 3. \" J. 2001."]),
+        (f"Lee, B. \"On moss. 2001 // more\" (ed. 1999. | x) J. 2001. // {A}", ["Lee, B. \"On moss. 2001 // more\" (ed. 1999. | x) J. 2001.", A]),
+        (f"Lee, B. (On moss. 2001. // {A} | {B}", ["Lee, B. (On moss. 2001.", A, B]),
         ('"x ""y"" 1999.", "z 2001."', ['x "y" 1999.', "z 2001."]),
         ("Ray, N. B.; Lee, C. D.: On peat. In: J. Soil (1999), S. 4-9.", ["Ray, N. B.; Lee, C. D.: On peat. In: J. Soil (1999), S. 4-9."]),
         ("[7] " + A, [A]),

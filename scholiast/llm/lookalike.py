@@ -26,16 +26,23 @@ LOOKALIKES = (
     ("АВЕЅІЈКМНОРСТХԚԜаеѕіјорсухһԁԛԝӏё", "ABESIJKMHOPCTXQWaesijopcyxhdqwlë"),
     ("ЀЁЇѐї", "ÈËÏèï"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳόΆΈΉΊΌΎΪΫ", "ABEZHIKMNOPTYXovcjóÁÉH́ÍÓÝÏŸ"),
+    ("օᎪᎠᎬᎻᎫᏦᏞᎷᏢᎢᏙᎳᏃɑ", "oADEHJKLMPTVWZa"),
 )
 # Marks that print alike.
 MARKS = (("‐‑ʼµ", "--’μ"),)
 # Characters without a mark of their own in print.
-INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+# Joiners, and the scripts whose letters take another shape beside them (Arabic to Mongolian; Indic).
+JOINERS = r"[\x{200C}\x{200D}]"
+JOINING = r"\x{0600}-\x{08FF}\x{0900}-\x{0DFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{1800}-\x{18AF}\x{A840}-\x{A87F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}"
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 LINE_ENDS = r"\r\n|[\r\x{0085}\x{2028}\x{2029}]"
 # Decomposition kinds that change only the width or the joining form of a letter.
 WIDTH_KINDS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 LIGATURES = range(0xFB00, 0xFB07)
+# Roman numerals that print like letters, and ligatures of whole words, which print like no letters.
+NUMERALS = range(0x2160, 0x2180)
+WORD_LIGATURES = range(0xFDFA, 0xFDFE)
 
 
 @lru_cache(1)
@@ -45,8 +52,8 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
     many: dict[str, str] = {}
     for cp in range(sys.maxunicode + 1):
         kind, _, rest = unicodedata.decomposition(chr(cp)).partition(" ")
-        if kind in WIDTH_KINDS or cp in LIGATURES:
-            to = unicodedata.normalize("NFKC", chr(cp)) if cp in LIGATURES else "".join(chr(int(x, 16)) for x in rest.split())
+        if (kind in WIDTH_KINDS or cp in LIGATURES or cp in NUMERALS) and cp not in WORD_LIGATURES:
+            to = unicodedata.normalize("NFKC", chr(cp)) if cp in LIGATURES or cp in NUMERALS else "".join(chr(int(x, 16)) for x in rest.split())
             (one if len(to) == 1 else many)[chr(cp)] = to
     for alike, twins in LOOKALIKES + MARKS:
         pairs = unicodedata.normalize("NFC", twins)
@@ -61,19 +68,27 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
                 (one if end == k + 1 else many)[ch] = pairs[k:end]
                 k = end
     one = {a: (one.get(b, b)) for a, b in one.items()}
-    many = {a: "".join(one.get(c, c) for c in b) for a, b in many.items()}
-    return one, {a: b for a, b in many.items() if not 0xFBEA <= ord(a) <= 0xFDFB or len(b) <= 4}
+    return one, {a: "".join(one.get(c, c) for c in b) for a, b in many.items()}
 
 
 def form_sql(column: str) -> str:
-    """The DuckDB expression for the form of a text column."""
+    """The DuckDB expression for the form of a text column.
+
+    Joiners vanish except between letters of scripts that they give another shape. The
+    chain of one-to-many replacements runs only on texts that hold a character of it.
+    """
     one, many = mappings()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     x = f"regexp_replace({column}, {quote(INVISIBLE)}, '', 'g')"
-    x = f"regexp_replace({x}, {quote(LINE_ENDS)}, chr(10), 'g')"
-    for lig in map(chr, LIGATURES):
-        x = f"replace({x}, {quote(lig)}, {quote(many.get(lig) or one[lig])})"
-    x = f"translate(nfc_normalize({x}), {quote(''.join(one))}, {quote(''.join(one.values()))})"
+    loose = f"regexp_replace(regexp_replace(y, {quote(f'(^|[^{JOINING}]){JOINERS}+')}, '\\1', 'g'), {quote(f'{JOINERS}+([^{JOINING}]|$)')}, '\\1', 'g')"
+    x = f"list_transform([{x}], lambda y: CASE WHEN regexp_matches(y, {quote(JOINERS)}) THEN {loose} ELSE y END)[1]"
+    x = f"nfc_normalize(regexp_replace({x}, {quote(LINE_ENDS)}, chr(10), 'g'))"
+    chain = "y"
+    for ch, to in many.items():
+        chain = f"replace({chain}, {quote(ch)}, {quote(to)})"
+    held = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in many) + "]"
+    x = f"list_transform([{x}], lambda y: CASE WHEN regexp_matches(y, {quote(held)}) THEN {chain} ELSE y END)[1]"
+    x = f"translate({x}, {quote(''.join(one))}, {quote(''.join(one.values()))})"
     return f"nfc_normalize({x})"
 
 
@@ -140,7 +155,39 @@ def p1_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_form(spread(texts(spark, sf_dir)), "text", "form").select("source_table", "key", "form").distinct()
 
 
+def letterwise_sql(column: str) -> tuple[str, str]:
+    """The form of a text letter by letter through one map, for the check of form_sql: letters are told by their names, not by their decompositions."""
+    told = {" ": " "}
+    for cp in range(0x80, sys.maxunicode + 1):
+        name = unicodedata.name(chr(cp), "")
+        word = name.split(" ")
+        wide = word[0] in ("FULLWIDTH", "HALFWIDTH") or name == "IDEOGRAPHIC SPACE"
+        joined = word[0] == "ARABIC" and word[-1] == "FORM" and cp not in WORD_LIGATURES
+        letters = word[:3] == ["LATIN", "SMALL", "LIGATURE"] and 0xFB00 <= cp < 0xFB07
+        numeral = word[:2] in (["ROMAN", "NUMERAL"], ["SMALL", "ROMAN"]) and cp < 0x2180
+        blank = unicodedata.category(chr(cp)) == "Zs"
+        if wide or joined or letters or numeral or blank:
+            told[chr(cp)] = " " if blank else unicodedata.normalize("NFKC", chr(cp))
+    one, many = mappings()
+    # what the names do not tell: twins in other scripts, and marks
+    told |= {a: b for a, b in (one | many).items() if a not in told and a in "".join(x for x, _ in LOOKALIKES + MARKS)}
+    told = {a: "".join(told.get(c, c) for c in b) for a, b in told.items()}
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    letters = f"MAP {{{', '.join(f'{quote(a)}: {quote(b)}' for a, b in told.items())}}}"
+    gone = f"regexp_matches(c, {quote(INVISIBLE)})"
+    clean = f"array_to_string(list_filter(string_split({column}, ''), lambda c: NOT {gone}), '')"
+    # a joiner is kept where the nearest other characters on both sides are joining letters
+    parts = f"regexp_extract_all({clean}, {quote(f'{JOINERS}+|[^{JOINERS[1:-1]}]+')})"
+    kept = (
+        f"list_transform({parts}, lambda p, i: CASE WHEN NOT regexp_matches(p, {quote(JOINERS)}) THEN p WHEN i > 1 AND i < len({parts}) "
+        f"AND regexp_matches(right({parts}[i - 1], 1), {quote(f'[{JOINING}]')}) AND regexp_matches(left({parts}[i + 1], 1), {quote(f'[{JOINING}]')}) THEN p ELSE '' END)"
+    )
+    lines = f"regexp_replace(array_to_string({kept}, ''), {quote(LINE_ENDS)}, chr(10), 'g')"
+    return f"nfc_normalize(array_to_string(list_transform(string_split(nfc_normalize({lines}), ''), lambda c: coalesce(l[c], c)), ''))", letters
+
+
+_LETTERWISE, _LETTERS = letterwise_sql("text")
 P1_FORM_SQL = f"""
-SELECT DISTINCT source_table, key, {form_sql("text")} AS form FROM (
-  SELECT 'blocks' AS source_table, paper_id || '/' || block_id AS key, text FROM blocks
-  UNION ALL SELECT 'metadata', record_id, title FROM metadata) WHERE text IS NOT NULL AND key IS NOT NULL"""
+WITH m AS MATERIALIZED (SELECT {_LETTERS} AS l),
+t AS (SELECT 'blocks' AS source_table, paper_id || '/' || block_id AS key, text FROM blocks UNION ALL SELECT 'metadata', record_id, title FROM metadata)
+SELECT DISTINCT source_table, key, CASE WHEN text = '' THEN '' ELSE {_LETTERWISE} END AS form FROM t, m WHERE text IS NOT NULL AND key IS NOT NULL"""

@@ -161,8 +161,9 @@ def edits(a: str, b: str, limit: int = 2) -> int:
 
 
 def key_alike(a: str, b: str) -> bool:
-    """Whether two key parts may be one part and its typo."""
-    return a == b or (min(len(a), len(b)) >= 5 and edits(a, b, 1) <= 1)
+    """Whether two key parts may be one part and its typo; parts of four letters may only have two letters swapped."""
+    short = min(len(a), len(b))
+    return a == b or (edits(a, b, 1) <= 1 and (short >= 5 or (short == 4 and sorted(a) == sorted(b))))
 
 
 def _part(a: str, b: str, formal: dict[str, set[str]], later: bool = False) -> float:
@@ -248,7 +249,8 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
     form with one letter left out; those of twenty letters or more, of which no edit touches
     both ends, their first or last eight letters. Only distinct parts enter, so a part that a third of
     all names carry is one row. Two parts that differ by another letter and are both
-    well attested (n spellings each) are two parts, not a part and its typo.
+    well attested (n spellings each) are two parts, not a part and its typo, nor are two of
+    four letters that differ by a swap.
     """
     bands, rows = bands_for(similarity, recall, permutations)
     keys = materialize(keys)
@@ -273,7 +275,7 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
                 out_hash.extend(xxhash.xxh64_intdigest(f) - 2**63 for f in forms)
             yield pd.DataFrame({"key": out_key, "band": out_band, "h": out_hash}, dtype=object)
 
-    banded = parallel(keys.where(F.length("key") >= 5)).mapInPandas(run, "key string, band int, h long")
+    banded = parallel(keys.where(F.length("key") >= 4)).mapInPandas(run, "key string, band int, h long")
     met = banded.join(banded.withColumnRenamed("key", "key2"), ["band", "h"]).where("key < key2 and abs(length(key) - length(key2)) <= 1").select("key", "key2").distinct()
 
     @F.pandas_udf("boolean")
@@ -283,7 +285,8 @@ def alike_keys(keys: DataFrame, similarity: float = 0.55, recall: float = 0.99,
     near_pairs = parallel(met).where(near("key", "key2"))
     a, b = keys.select("key", F.col("n").alias("na")), keys.select(F.col("key").alias("key2"), F.col("n").alias("nb"))
     rare = F.least("na", "nb")
-    return near_pairs.join(a, "key").join(b, "key2").where((F.length("key") != F.length("key2")) | (F.array_sort(F.split("key", "")) == F.array_sort(F.split("key2", ""))) | (rare == 1) | (rare * 3 <= F.greatest("na", "nb"))).select("key", "key2")
+    swapped = (F.array_sort(F.split("key", "")) == F.array_sort(F.split("key2", ""))) & (F.length("key") >= 5)
+    return near_pairs.join(a, "key").join(b, "key2").where((F.length("key") != F.length("key2")) | swapped | (rare == 1) | (rare * 3 <= F.greatest("na", "nb"))).select("key", "key2")
 
 
 def representatives(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:

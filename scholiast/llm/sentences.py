@@ -2,7 +2,8 @@
 
 The words of a text are seen as a stream in which boundary tokens are hidden. A gap can
 hold a boundary behind a final mark with its closing quotes, brackets and citation marker,
-or, in scripts that write no final marks, at any blank. An n-gram model over words and
+in scripts that write no final marks at any blank, and in texts without any final mark
+between all words or ideographs. An n-gram model over words and
 boundary tokens gives the chance of a boundary after its left words, of the right words
 after a boundary, and of the right words without one; words back off to classes (shape,
 mark, how the closing quote was opened). The model is trained without labels on the whole
@@ -17,6 +18,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -129,7 +131,7 @@ def _words(unit: str) -> list[str]:
     """The words of a unit as the model sees them, up to four."""
     w = normal(unit)
     if _CJKS.search(w):
-        return _MIXED.findall(w[:24])[:4]
+        return [m[0] for m in islice(_MIXED.finditer(w), 4)]
     if _BARE.search(w[:3]):
         return [w[:6]]
     return [w]
@@ -138,14 +140,29 @@ def _words(unit: str) -> list[str]:
 class Gap:
     __slots__ = ("at", "unit", "g", "l2", "l1", "cl", "r1", "cr", "r2", "cr2", "joined")
 
+    @classmethod
+    def of(cls, at: int, unit: int, joined: bool, window: str) -> Gap:
+        g = cls()
+        g.at, g.unit, g.joined = int(at), int(unit), bool(joined)
+        g.g, g.l2, g.l1, g.cl, g.r1, g.cr, g.r2, g.cr2 = window.split(_SEP)
+        return g
+
     def window(self) -> tuple[str, ...]:
         return self.g, self.l2, self.l1, self.cl, self.r1, self.cr, self.r2, self.cr2
 
 
-def analyse(text: str) -> tuple[list[Gap], Gap | None]:
-    """The gaps of a text that can hold a boundary, and the window at its beginning."""
+def covered(spans: list[tuple[int, int]], n: int) -> list[int]:
+    """For each place of a text of n characters, how many spans it lies strictly within."""
+    steps = [0] * (n + 2)
+    for s, e in spans:
+        steps[s + 1] += 1
+        steps[e] -= 1
+    return list(accumulate(steps))
+
+
+def _units(text: str, opener: dict[int, int]) -> list[tuple[int, int]]:
+    """Runs without white space, cut behind final marks that need no blank."""
     units: list[tuple[int, int]] = []
-    spans, opener = enclosed(text)
     for m in _UNIT.finditer(text):
         start, end = m.span()
         run = m[0]
@@ -163,11 +180,43 @@ def analyse(text: str) -> tuple[list[Gap], Gap | None]:
                     units.append((start + cut, start + stop))
                     cut = stop
         units.append((start + cut, end))
+    return units
+
+
+# Fixed value: a stretch of this many units, or of ten times as many ideographs, without a final mark counts as unpunctuated.
+UNMARKED = 60
+
+
+def _loose(finals: list) -> set[int]:
+    """Units behind which a boundary may stand though no final mark does: those of texts, or of long stretches, without any."""
+    if not any(finals):
+        return set(range(len(finals)))
+    out: set[int] = set()
+    run: list[int] = []
+    for k, f in enumerate([*finals, True]):
+        if not f:
+            run.append(k)
+            continue
+        if len(run) >= UNMARKED:
+            out.update(run)
+        run = []
+    return out
+
+
+def analyse(text: str) -> tuple[list[Gap], Gap | None]:
+    """The gaps of a text that can hold a boundary, and the window at its beginning; in time linear in the text.
+
+    A gap stands behind a final mark, at a blank of a script without marks, and between
+    all words, or ideographs, of a text or long stretch that has no final mark.
+    """
+    spans, opener = enclosed(text)
+    units = _units(text, opener)
     if not units:
         return [], None
+    inside = covered(spans, len(text))
     words = [_words(text[a:b]) for a, b in units]
     flat: list[tuple[int, str]] = [(k, w) for k, ws in enumerate(words) for w in ws]
-    first = {}
+    first: dict[int, int] = {}
     for pos, (k, _) in enumerate(flat):
         first.setdefault(k, pos)
 
@@ -180,30 +229,41 @@ def analyse(text: str) -> tuple[list[Gap], Gap | None]:
         gap.joined = pos + 1 < len(flat) and flat[pos + 1][0] == k + 1
 
     begin = Gap()
-    begin.at, begin.unit, begin.l2, begin.l1, begin.cl, begin.g = 0, -1, START, START, START, tongue(text[:120])
+    begin.at, begin.unit, begin.l2, begin.l1, begin.cl, begin.g = 0, -1, START, START, START, tongue(text[:120])  # the language around the beginning
     right(begin, 0)
-    gaps = []
-    for k in range(len(units) - 1):
-        a, b = units[k]
+    gaps: list[Gap] = []
+    places: set[int] = set()
+    finals = [_FINAL.search(text[a:b]) for a, b in units]
+    loose, unmarked = _loose(finals), not any(finals)
+    for k, (a, b) in enumerate(units):
         piece = text[a:b]
-        final = _FINAL.search(piece)
-        bare = not final and (_BARE.search(piece[-1:]) or _BARE.search(text[units[k + 1][0]]))
-        if not final and not bare:
+        if b - a > 3 and _CJKS.search(piece) and (unmarked or b - a >= 10 * UNMARKED):
+            gaps += _ideographs(text, a, b, k, inside)
+        if k == len(units) - 1:
+            break
+        final = finals[k]
+        bare = not final and bool(_BARE.search(piece[-1:]) or _BARE.search(text[units[k + 1][0]]))
+        if not final and not bare and k not in loose:
             continue
-        if any(s < b - 1 < e or s < a + (final.start() if final else 0) < b <= e for s, e in spans):
+        mark = a + (final.start() if final else 0)
+        # within a quote or bracket, or with a final mark inside one that does not end before it
+        if inside[b - 1] or inside[mark] > sum(mark < e < b and opener[e] < mark for e in range(mark + 1, b) if e in opener):
             continue
         g = Gap()
         g.at, g.unit, g.g = b, k, tongue(text[max(0, b - 70) : b + 50])
-        left = normal(piece)
         if bare:
+            left = normal(piece)
             g.l1, g.cl = left[-6:], shape(left) + "_"
+        elif not final:
+            left = _bare_end(normal(piece))
+            g.l1, g.cl = left + "~", shape(left) + (piece[-1] if piece[-1] in ",;:" else "") + "~"
         else:
             how = ""
-            for pos in range(b - 1, a + final.start() - 1, -1):
+            for pos in range(b - 1, mark - 1, -1):
                 if pos in opener and text[pos] != "]":
-                    o = opener[pos]
-                    before = text[:o].rstrip()
-                    how = "^" if not before or any(x.at == _end(text, o) for x in gaps) or _FINAL.search(before[-6:]) else "(" if text[pos] in ")）" else before[-1] if before[-1] in ":：,，、" else "m"
+                    o = _end(text, opener[pos])
+                    before = text[max(0, o - 6) : o]
+                    how = "^" if not before or o in places or _FINAL.search(before) else "(" if text[pos] in ")）" else before[-1] if before[-1] in ":：,，、" else "m"
                     break
             tail = re.sub(rf"{_CITE}", "", normal(final[0])) + how
             core = normal(piece[: final.start()])
@@ -219,9 +279,25 @@ def analyse(text: str) -> tuple[list[Gap], Gap | None]:
             g.l2 = START
         right(g, k + 1)
         gaps.append(g)
+        places.add(b)
     return gaps, begin
 
 
+def _ideographs(text: str, a: int, b: int, unit: int, inside: list[int]) -> list[Gap]:
+    """Gaps between the ideographs of a run without final marks."""
+    out = []
+    for at in range(a + 2, b - 1):
+        if inside[at] or inside[at - 1] or not (_CJKS.match(text[at]) and _CJKS.match(text[at - 1])):
+            continue
+        g = Gap()
+        g.at, g.unit, g.g = at, unit, tongue(text[max(0, at - 70) : at + 50])
+        g.l2, g.l1, g.cl = normal(text[max(a, at - 4) : at - 2]) or START, normal(text[at - 2 : at]) + "~", "C~"
+        g.r1, g.r2 = normal(text[at : at + 2]), normal(text[at + 2 : min(b, at + 4)]) or "$"
+        g.cr, g.cr2, g.joined = shape(g.r1), shape(g.r2) if g.r2 != "$" else "$", False
+        out.append(g)
+    return out
+
+
 def _end(text: str, at: int) -> int:
     while at and text[at - 1].isspace():
         at -= 1
@@ -237,6 +313,8 @@ def guess(cl: str, cr: str, r1: str) -> float:
     if cl == START:
         return 0.85
     lower = (cr[-2:-1] == "w" and cr[0] not in OPENERS) or cr.startswith("P")
+    if cl.endswith("~"):
+        return 0.005 if lower or cl[-2:-1] in ",;:" else 0.05
     if cl.endswith("_"):
         return 0.35 if not cr.startswith("0") else 0.05
     mark = re.sub(r"^.*?(?=[" + re.escape(MARKS) + "])", "", cl)
@@ -387,31 +465,47 @@ def expected(rows: Iterable[tuple], model: Model | None) -> dict[str, float]:
     return out
 
 
-WINDOW = ["g", "l2", "l1", "cl", "r1", "cr", "r2", "cr2"]
+# Parts of a window are white-space free, so this control character, which is white space, parts them.
+_SEP = "\x1f"
+
 
+def gap_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and what `analyse` finds in each text, which training counts and decoding reads: no text is analysed twice.
 
-def windows(texts: DataFrame, text: str) -> DataFrame:
-    """Counted windows around all gaps of all texts; equal windows are added up per batch, then per key."""
+    begin and win are windows in one string; at, next, unit and joined describe the gaps,
+    first and last the outer offsets. Null, empty and blank texts have no row.
+    """
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
+    schema += "first int, last int, begin string, at array<int>, next array<int>, unit array<int>, joined array<boolean>, win array<string>"
+    names = [*keys, "first", "last", "begin", "at", "next", "unit", "joined", "win"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            seen: dict[tuple, int] = defaultdict(int)
-            for t in df[text]:
+        for b in batches:
+            out = []
+            for *key, t in b.itertuples(index=False, name=None):
+                if not isinstance(t, str):
+                    continue
                 gaps, begin = analyse(t)
-                for g in gaps:
-                    seen[g.window()] += 1
-                if begin:
-                    seen[begin.window()] += 1
-            yield pd.DataFrame([(*w, n) for w, n in seen.items()], columns=[*WINDOW, "n"], dtype=object)
+                if begin is None:
+                    continue
+                after = [_next(t, g.at) for g in gaps]
+                out.append((*key, _next(t, 0), _end(t, len(t)), _SEP.join(begin.window()), [g.at for g in gaps], after, [g.unit for g in gaps], [g.joined for g in gaps], [_SEP.join(g.window()) for g in gaps]))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return df.select(*keys, text).mapInPandas(run, schema)
 
-    found = texts.select(text).mapInPandas(run, ", ".join(f"{w} string" for w in WINDOW) + ", n long")
-    return found.groupBy(*WINDOW).agg(F.sum("n").alias("n"))
+
+def _next(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
 
 
-def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5) -> Model:
-    """The model of a corpus. Counts cover every text; n-grams expected fewer than `least` times
+def train(gaps: DataFrame, rounds: int = 6, least: float = 1.5) -> Model:
+    """The model of a corpus, from its gap table. Counts cover every text; n-grams expected fewer than `least` times
     are left to their classes, whatever the size of the corpus."""
-    rows = materialize(parallel(windows(texts, text)))
+    seen = gaps.select(F.explode(F.concat(F.array("begin"), "win")).alias("win")).groupBy("win").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(parallel(seen))
     model = None
     for _ in range(rounds):
         known = model.c if model else None
@@ -420,7 +514,7 @@ def train(texts: DataFrame, text: str, rounds: int = 6, least: float = 1.5) -> M
             total: dict[str, float] = defaultdict(float)
             m = Model(known) if known is not None else None
             for df in batches:
-                for k, v in expected(df.itertuples(index=False, name=None), m).items():
+                for k, v in expected(((*w.split(_SEP), n) for w, n in zip(df["win"], df["n"])), m).items():
                     total[k] += v
             yield pd.DataFrame({"k": list(total), "v": list(total.values())}, columns=["k", "v"], dtype=object)
 
@@ -445,27 +539,34 @@ def split(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
-    """keys, sent_no, char_start, char_end of every sentence.
+def sentences(gaps: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """keys, sent_no, char_start, char_end of every sentence of a gap table.
 
-    Null, empty and blank texts have no sentences; texts of any length are read whole.
+    Texts of any length are read whole; those without a row in the table have no sentences.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", sent_no int, char_start int, char_end int"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in gaps.select(*keys).schema) + "sent_no int, char_start int, char_end int"
     counts = model.c
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(counts)
         for b in batches:
             out = []
-            for *key, t in b.itertuples(index=False, name=None):
-                if isinstance(t, str):
-                    out += [(*key, n, s, e) for n, (s, e) in enumerate(split(t, m), 1)]
+            for *key, first, last, _, at, after, unit, joined, win in b.itertuples(index=False, name=None):
+                chain = [Gap.of(*g) for g in zip(at, unit, joined, win)]
+                start, n = first, 0
+                for p, end, following in zip(m.decode(chain), at, after):
+                    if p >= 0.5 and end > start:
+                        n += 1
+                        out.append((*key, n, start, end))
+                        start = following
+                if last > start:
+                    out.append((*key, n + 1, start, last))
             yield pd.DataFrame(out, columns=[*keys, "sent_no", "char_start", "char_end"], dtype=object)
 
-    return df.select(*keys, text).mapInPandas(run, schema)
+    return gaps.mapInPandas(run, schema)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "blocks").where("role = 'body' and text is not null").select("paper_id", "block_id", "text")
-    blocks = spread(blocks)
-    return sentences(blocks, ["paper_id", "block_id"], "text", train(blocks, "text")).dropDuplicates(["paper_id", "block_id", "sent_no"])
+    gaps = materialize(gap_table(spread(blocks), ["paper_id", "block_id"], "text"))
+    return sentences(gaps, ["paper_id", "block_id"], train(gaps)).dropDuplicates(["paper_id", "block_id", "sent_no"])

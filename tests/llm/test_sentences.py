@@ -1,15 +1,18 @@
 import itertools
+import random
+import time
+from collections import defaultdict
 
 import pytest
 
-from scholiast.llm.sentences import Model, analyse, enclosed, p2_found, sentences, split, train
+from scholiast.llm.sentences import Model, analyse, enclosed, expected, gap_table, p2_found, sentences, split, train
 
 SF = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return train(spark.read.parquet(f"{SF}/blocks.parquet").where("role = 'body' and text is not null"), "text")
+    return train(gap_table(spark.read.parquet(f"{SF}/blocks.parquet").where("role = 'body' and text is not null"), [], "text"))
 
 
 @pytest.mark.parametrize(
@@ -46,8 +49,10 @@ def test_offsets_and_edges(spark, model):
         assert all(0 <= a < b <= len(text) and text[a:b] == text[a:b].strip() for a, b in spans)
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
         assert "".join(text[a:b] for a, b in spans).replace(" ", "") == "".join(text.split()).replace(" ", "") or any(c.isspace() for a, b in spans for c in text[a:b])
+        gaps = gap_table(spark.createDataFrame([("k", text)], "k string, text string"), ["k"], "text")
+        assert [(r.char_start, r.char_end) for r in sentences(gaps, ["k"], model).orderBy("sent_no").collect()] == spans, text[:20]
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "One is. Two is.", 9)], "k long, text string, sent_no int")
-    assert {r.k for r in sentences(df, ["k"], "text", model).collect()} == {3}
+    assert {r.k for r in sentences(gap_table(df, ["k"], "text"), ["k"], model).collect()} == {3}
 
 
 def test_untrained_and_empty(spark, tables):
@@ -65,8 +70,51 @@ def test_quotes_nest():
     assert [g.at for g in gaps] == [11] and begin.l1 == "^"
 
 
+STARTS = {"en": ["However,", "Samples", "We", "This", "Each"], "zh": ["研究者", "结果", "我们", "这些"], "ja": ["著者", "平均", "われ", "この"]}
+RESTS = {
+    "en": [f"{a} {b} {c}" for a in ("came from", "measured the", "holds for", "kept some") for b in ("quiet", "narrow", "late") for c in ("harbour", "market", "biopsy", "statute")],
+    "zh": [a + b + c for a in ("测量了", "说明了", "取决于") for b in ("河岸", "合同", "市场") for c in ("的变化", "的样本", "的结构")],
+    "ja": [a + b + c for a in ("らは和音を", "らは市場を", "らは河岸を") for b in ("詳細に", "何度も") for c in ("測定した", "記録した", "述べた")],
+}
+
+
+@pytest.mark.parametrize("lang", ["en", "zh", "ja"])
+def test_unpunctuated_text(lang):
+    """Sentences are found in texts without any mark, by a model that has seen mostly punctuated ones."""
+    r = random.Random(5)
+    blank, mark = (" ", ".") if lang == "en" else ("", "。")
+
+    def sentences_of(n):
+        return [r.choice(STARTS[lang]) + blank + r.choice(RESTS[lang]) for _ in range(n)]
+
+    texts = [(mark + blank).join(sentences_of(5)) + mark for _ in range(400)] + [blank.join(sentences_of(5)) for _ in range(40)]
+    seen = defaultdict(int)
+    for t in texts:
+        gaps, begin = analyse(t)
+        for g in [*gaps, begin]:
+            seen[g.window()] += 1
+    model = None
+    for _ in range(6):
+        model = Model(dict(expected([(*w, n) for w, n in seen.items()], model)))
+    want = got = both = 0
+    for _ in range(40):
+        parts = sentences_of(5)
+        text = blank.join(parts)
+        ends = {len(blank.join(parts[:k])) for k in range(1, 6)}
+        found = {b for _, b in split(text, model)}
+        want, got, both = want + len(ends), got + len(found), both + len(ends & found)
+    assert both / want > 0.9 and both / got > 0.9, (want, got, both)
+
+
+def test_analysis_is_linear_and_marked_texts_keep_their_gaps():
+    assert [g.at for g in analyse("One is. Two is.")[0]] == [7] and len(analyse("One is two is")[0]) == 3 and analyse("ab")[0] == []
+    text = "He said “it is (so). Yes.” ok. " * 20_000
+    began = time.time()
+    assert len(analyse(text)[0]) > 20_000 and time.time() - began < 60
+
+
 def test_no_count_is_cut_by_the_size_of_the_corpus(spark):
     """More than 300,000 n-grams are all in the model."""
     words = ["".join(w) for w in itertools.product("abcdefghijklmnopqrst", repeat=4)]
     texts = [(" ".join(f"on x{w} y{w}. E{w} z{w}." for w in words[k : k + 500]),) for k in range(0, 100_000, 500)] * 4
-    assert len(train(spark.createDataFrame(texts, "text string"), "text", rounds=1).c) > 300_000
+    assert len(train(gap_table(spark.createDataFrame(texts, "text string"), [], "text"), rounds=1).c) > 300_000

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scholiast.operators import orphans, packed_values
-from scholiast.plans import citations, content, corpus, evidence, graphs, layout, pages, reader
+from scholiast.plans import citations, content, corpus, evidence, graphs, layout, pages, reader, registry
 
 QUERIES = {
     "p4_found": orphans.p4_found,
@@ -51,6 +51,6 @@ SELECT ref_field, paper_id, ref_id, count(*) AS refs FROM refs r WHERE NOT EXIST
 GROUP BY ALL""",
 }
 
-for _module in (layout, evidence, citations, graphs, corpus, pages, reader, content):
+for _module in (layout, evidence, citations, graphs, corpus, pages, reader, content, registry):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholiast.functions import text as T
-from scholiast.operators.ordering import clean_blocks
+from scholiast.operators.ordering import clean_blocks, numbered
 from scholiast.plans.citations import M, R, clean_citations, clean_records
 from scholiast.plans.evidence import C, E, claim_evidence, clean_claims, clean_evidence, rebuilt
 from scholiast.plans.layout import B, SECTION_CTE, headings
@@ -69,19 +69,18 @@ SELECT DISTINCT paper_id, owner_id, b AS evidence_id FROM w WHERE EXISTS (SELECT
 
 
 def lane_layout(spark: SparkSession, sf: str) -> DataFrame:
-    """Provider lanes one below the other: works in rows of three, lane heights by their number."""
-    m = clean_records(spark, sf).where("year >= 2020 and title is not null")
+    """Provider lanes one below the other: works in rows of three, lane heights by their number; records without title or provider have no place."""
+    m = clean_records(spark, sf).where("title is not null and provider is not null").select("provider", "record_id")
     n = m.groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
     # one row per provider: the lanes themselves are few
     height = F.greatest(F.lit(150), 72 + F.ceil(F.col("n") / 3) * 88)
     lanes = n.withColumn("height", height).withColumn("top", F.coalesce(F.sum(F.col("height") + 18).over(Window.orderBy("provider").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("provider").orderBy("record_id")
-    placed = m.select("provider", "record_id", (F.row_number().over(w) - 1).alias("i")).join(lanes, "provider")
+    placed = numbered(m, ["provider"], [F.col("record_id")], "i").join(lanes, "provider")
     return placed.select("provider", "record_id", (F.pmod("i", F.lit(3)) * 265).cast("int").alias("x"), (F.col("top") + 72 + F.floor(F.col("i") / 3) * 88).cast("int").alias("y"))
 
 
 LANE_SQL = f"""
-WITH {M}, k AS (SELECT provider, record_id, row_number() OVER (PARTITION BY provider ORDER BY record_id) - 1 AS i FROM m WHERE year >= 2020 AND title IS NOT NULL),
+WITH {M}, k AS (SELECT provider, record_id, row_number() OVER (PARTITION BY provider ORDER BY record_id) - 1 AS i FROM m WHERE title IS NOT NULL AND provider IS NOT NULL),
 n AS (SELECT provider, greatest(150, 72 + CAST(ceil(count(*) / 3) AS BIGINT) * 88) AS height FROM k GROUP BY ALL),
 l AS (SELECT provider, coalesce(sum(height + 18) OVER (ORDER BY provider ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM n)
 SELECT provider, record_id, i % 3 * 265 AS x, CAST(top + 72 + i // 3 * 88 AS INT) AS y FROM k JOIN l USING (provider)"""

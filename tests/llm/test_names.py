@@ -77,3 +77,12 @@ def test_stars(spark):
     got = {r.rep: r.centre for r in star_clusters(nodes, edges).collect()}
     assert got[0] == got[1] == got[2] == got[3] == 1 and not {4, 5} & got.keys()
     assert star_clusters(nodes, edges.limit(0)).count() == 0
+
+
+def test_no_checkpoint_is_broadcast_by_its_guessed_size(spark, tmp_path):
+    from scholiast.llm.names import links, representatives
+
+    rows = [("Anna Barcalkyrenko",), ("Barcalkyrenko, A.",), ("Anna Barcalkyrneko",)]
+    spark.createDataFrame(rows, "name string").write.parquet(str(tmp_path / "names"))
+    plan = links(representatives(spark.read.parquet(str(tmp_path / "names")))[1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
